@@ -21,14 +21,16 @@ from pyspark.sql import types as T
 
 from tracklight.llm.common import map_columns, string
 
-#: Bounds of the training sample: languages, documents of each, words in all, and features.
-LANGUAGES, DOCUMENTS, TRAIN_WORDS, FEATURES = 64, 300, 200_000, 120_000
+#: Bounds of the training sample: languages, documents of each, and words in all.
+LANGUAGES, DOCUMENTS, TRAIN_WORDS = 64, 300, 120_000
+#: Rows of the weights, as a power of two; features that share a row share its weight.
+ROW_BITS = 17
 #: Segments of a training sequence, and words in one.
 SEGMENTS, SEGMENT_WORDS = 3, 20
 #: Steps of the fit, their size, and the weight of the penalty.
 STEPS, STEP, PENALTY = 30, 0.3, 1e-5
 #: Words that are labelled at once, and words whose scores a worker keeps.
-CHUNK, CACHE = 250_000, 400_000
+CHUNK, CACHE = 250_000, 700_000
 UNDETERMINED = "und"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -39,38 +41,57 @@ def letters(word: str) -> str:
     return word if word.isalpha() else NOT_LETTERS.sub("", word)
 
 
-def features(word: str) -> list[str]:
-    """Affixes, n-grams and the word itself."""
-    marked = f"^{word}$"
-    out = [f"={word}"]
-    for n in (1, 2, 3):
-        out.append(f"<{word[:n]}")
-        out.append(f">{word[-n:]}")
-        out += [marked[i : i + n] for i in range(len(marked) - n + 1)]
-    return out
+def features(words: list[str]):
+    """For each kind of feature, rows of the weights, with the first of each word if it has many, else the words that have one.
+
+    Kinds: the word itself, its n-grams of one to three characters with its borders, and its affixes of one to three.
+    A feature's row is a hash of its kind and characters. Words have a letter at least.
+    """
+    codes = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    starts = np.cumsum(sizes) - sizes
+    at = np.arange(len(codes)) - np.repeat(starts, sizes)  # place in the word
+    left = np.repeat(sizes, sizes) - at  # characters from here to the word's end
+
+    def row(h: np.ndarray, kind: int) -> np.ndarray:
+        h = (h + np.uint64(kind * 0x51ED270B)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        return ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - ROW_BITS)).astype(np.int64)
+
+    base = np.uint64(1_000_003)
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.full(int(sizes.max()), base, np.uint64))
+        yield row(np.add.reduceat(codes * powers[at], starts), 0), np.arange(len(words)), False
+        gram = np.zeros(len(codes), np.uint64)
+        for n in (1, 2, 3):
+            gram = gram * base
+            gram[: len(codes) - n + 1] += codes[n - 1 :]
+            whole = left >= n
+            counts = sizes - n + 1
+            yield row(gram[whole], n), np.cumsum(counts) - counts, True
+            long_ = np.flatnonzero(sizes >= n + 2)
+            yield row(gram[starts[long_] + 1], 3 + n), long_, False
+            yield row(gram[starts[long_] + sizes[long_] - 1 - n], 6 + n), long_, False
 
 
 @dataclass
 class Field:
-    """The fitted field: languages, the row of each feature in weights, and the transitions' logarithms."""
+    """The fitted field: languages, the weights by a feature's row, and the transitions' logarithms."""
 
     languages: list[str]
-    row: dict[str, int]
     weights: np.ndarray
     transitions: np.ndarray
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """The sums of the features' weights, for words of letters only."""
-        rows, ends = [], []
-        get = self.row.get
-        for word in words:
-            rows += [r for f in features(word) if (r := get(f)) is not None]
-            rows.append(len(self.weights))
-            ends.append(len(rows))
-        if not words:
-            return np.zeros((0, len(self.languages)))
-        weights = np.vstack([self.weights, np.zeros(len(self.languages))])
-        return np.add.reduceat(weights[np.array(rows)], np.array([0, *ends[:-1]]), axis=0)
+        out = np.zeros((len(words), len(self.languages)), np.float32)
+        if words and len(self.languages):
+            for rows, where, many in features(words):
+                if many:
+                    out += np.add.reduceat(self.weights[rows], where, axis=0)
+                else:
+                    out[where] += self.weights[rows]
+        return out
 
 
 def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, pairs: bool = False):
@@ -121,7 +142,7 @@ def fit(texts: list[str], langs: list[str]) -> Field:
         if total >= TRAIN_WORDS:
             break
     if not kept:
-        return Field(languages, {}, np.zeros((0, n_langs)), np.zeros((n_langs, n_langs)))
+        return Field(languages, np.zeros((1 << ROW_BITS, n_langs), np.float32), np.zeros((n_langs, n_langs)))
     sequences = [kept[i : i + SEGMENTS] for i in range(0, len(kept), SEGMENTS)]
     sequences.sort(key=lambda s: -sum(len(x) for _, x in s))
     lengths = np.array([sum(len(x) for _, x in s) for s in sequences])
@@ -129,17 +150,13 @@ def fit(texts: list[str], langs: list[str]) -> Field:
     labels = np.array([lang for s in sequences for lang, x in s for _ in x])
     kinds = {w: i for i, w in enumerate(dict.fromkeys(words))}
     ids = np.array([kinds[w] for w in words])
-    times = np.bincount(ids)
-    seen: dict[str, int] = {}
-    of_kind = [features(w) for w in kinds]
-    for w, n in zip(of_kind, times.tolist()):
-        for f in w:
-            seen[f] = seen.get(f, 0) + n
-    often = sorted((f for f, n in seen.items() if n > 2), key=lambda f: (-seen[f], f))[:FEATURES]
-    row = {f: i for i, f in enumerate(often)}
-    flat = np.array([r for w in of_kind for f in w if (r := row.get(f)) is not None])
-    owner = np.repeat(np.arange(len(kinds)), [sum(f in row for f in w) for w in of_kind])
-    weights, transitions = np.zeros((len(row), n_langs)), np.zeros((n_langs, n_langs))
+    flat, owner = [], []
+    for rows, where, many in features(list(kinds)):
+        flat.append(rows)
+        owner.append(np.repeat(np.arange(len(kinds)), np.diff([*where, len(rows)])) if many else where)
+    flat, owner = np.concatenate(flat), np.concatenate(owner)
+    n_rows = 1 << ROW_BITS
+    weights, transitions = np.zeros((n_rows, n_langs)), np.zeros((n_langs, n_langs))
     gold = np.zeros((len(words), n_langs))
     gold[np.arange(len(words)), labels] = 1
     follows = np.ones(len(words), bool)
@@ -153,11 +170,11 @@ def fit(texts: list[str], langs: list[str]) -> Field:
         chances, expected = forward_backward(scores[ids], lengths, transitions, pairs=True)
         off = gold - chances
         by_kind = np.stack([np.bincount(ids, off[:, k], len(kinds)) for k in range(n_langs)], axis=1)
-        slope = np.stack([np.bincount(flat, by_kind[owner, k], len(row)) for k in range(n_langs)], axis=1) / len(words)
+        slope = np.stack([np.bincount(flat, by_kind[owner, k], n_rows) for k in range(n_langs)], axis=1) / len(words)
         for x, g, s in ((weights, slope - PENALTY * weights, sums[0]), (transitions, (moves - expected) / len(words), sums[1])):
             s += g * g
             x += STEP * g / np.sqrt(s)
-    return Field(languages, row, weights, transitions)
+    return Field(languages, weights.astype(np.float32), transitions)
 
 
 def train(docs: DataFrame, documents: int = DOCUMENTS) -> Field:
@@ -169,7 +186,7 @@ def train(docs: DataFrame, documents: int = DOCUMENTS) -> Field:
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not counts:
-        return Field([], {}, np.zeros((0, 0)), np.zeros((0, 0)))
+        return Field([], np.zeros((0, 0), np.float32), np.zeros((0, 0)))
     place = F.xxhash64("doc_id", F.lit(9)) / F.lit(2.0**64) + 0.5
     share = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], min(1.0, documents / r["count"]))))
     some = docs.where(place < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0.0)))
@@ -183,26 +200,30 @@ class Labeller:
     def __init__(self, field: Field):
         self.field = field
         self.at: dict[str, int] = {}  # -1: no letter
-        self.scores = np.zeros((0, len(field.languages)))
+        self.scores = np.zeros((CACHE + 1, len(field.languages)), np.float32)
+        self.held = 0
 
     def learn(self, words: list[str]) -> None:
         if len(self.at) + len(words) > CACHE:
             self.at.clear()
-            self.scores = self.scores[:0]
+            self.held = 0
         plain = [letters(w) for w in words]
-        with_letters = [(w, p) for w, p in zip(words, plain) if p]
-        for start in range(0, len(with_letters), 20_000):
-            part = with_letters[start : start + 20_000]
-            base = len(self.scores)
-            self.scores = np.vstack([self.scores, self.field.emissions([p for _, p in part])])
-            self.at.update((w, base + i) for i, (w, _) in enumerate(part))
+        some = [i for i, p in enumerate(plain) if p]
+        while self.held + len(some) > len(self.scores):
+            self.scores = np.vstack([self.scores, np.zeros_like(self.scores)])
+        for start in range(0, len(some), 20_000):
+            part = some[start : start + 20_000]
+            self.scores[self.held : self.held + len(part)] = self.field.emissions([plain[i] for i in part])
+            self.at.update(zip([words[i] for i in part], range(self.held, self.held + len(part))))
+            self.held += len(part)
         self.at.update((w, -1) for w, p in zip(words, plain) if not p)
 
     def rows(self, docs: list[list[str]]) -> list[np.ndarray]:
-        new = list(dict.fromkeys(w for d in docs for w in d if w not in self.at))
+        kinds = set().union(*docs)
+        new = [w for w in kinds if w not in self.at]
         if new:
             if len(self.at) + len(new) > CACHE:  # all is forgotten: what these documents need is learned together
-                new = list(dict.fromkeys(w for d in docs for w in d))
+                new = list(kinds)
             self.learn(new)
         out = [np.fromiter(map(self.at.__getitem__, d), np.int64, len(d)) for d in docs]
         return [r[r >= 0] for r in out]
