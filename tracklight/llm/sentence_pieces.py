@@ -30,9 +30,9 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Fragments kept with their ids in a worker, and the longest that are kept, in characters.
-CACHE, CACHE_CHARS = 400_000, 64
-#: Fragments that are encoded at once.
-BATCH = 4096
+CACHE, CACHE_CHARS = 700_000, 64
+#: Fragments that are encoded at once, and lines of a text among them.
+BATCH, LINES = 4096, 512
 
 
 def _fields(data: bytes):
@@ -128,6 +128,14 @@ class PieceModel:
     def encode_normalized(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def spell(self, ids) -> str:
+        """What pieces say before the marker is undone."""
+        out = b""
+        for i in ids:
+            piece = self.pieces[i]
+            out += bytes([int(piece[3:5], 16)]) if self.kinds[i] == BYTE else piece.encode()
+        return out.decode("utf-8", "replace")
+
     def decode(self, ids) -> str:
         """The text of ids; control pieces say nothing."""
         skips = getattr(self, "decoder_skips", ())
@@ -143,43 +151,78 @@ class Encoder:
         self.model = PieceModel(path)
         self.known: dict[str, bytes] = {}
         self.other: set[str] = set()  # fragments on which the libraries differ
+        self.lossy: set[str] = set()  # fragments that aren't what their ids say
         # the same model with add_dummy_prefix and remove_extra_whitespaces off, so that a fragment is read as it is:
         # of a field that is given twice, protocol buffers take the last
         with open(path, "rb") as file:
             data = file.read() + b"\x1a\x04\x18\x00\x20\x00"
         self.checker = sentencepiece.SentencePieceProcessor(model_proto=data)
+        end = self.checker.encode("\n")
+        self.line_end = end[0] if self.model.separable and len(end) == 1 else None
+
+    def ids_of(self, fragments: list[str]) -> tuple[list, list]:
+        """Ids of fragments by either library, as int32 arrays.
+
+        Where lines' ends stand alone, fragments are encoded as the lines of a few long texts, several at once by
+        the threads of the library, and cut at the line ends' ids.
+        """
+        if self.line_end is not None and "\n" not in fragments:
+            texts = ["\n".join(fragments[i : i + LINES]) for i in range(0, len(fragments), LINES)]
+            found = []
+            for rows in (self.model.encode_normalized(texts), self.checker.encode(texts, num_threads=1)):
+                cut = []
+                for ids in rows:
+                    ids = np.array(ids, np.int32)
+                    ends = np.flatnonzero(ids == self.line_end)
+                    cut += [ids[i:j] for i, j in zip([0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)])]
+                found.append(cut)
+            if len(found[0]) == len(found[1]) == len(fragments):
+                return found[0], found[1]
+        ours, theirs = self.model.encode_normalized(fragments), self.checker.encode(fragments, num_threads=1)
+        return [np.array(x, np.int32) for x in ours], [np.array(x, np.int32) for x in theirs]
 
     def learn(self, fragments: list[str]) -> dict[str, bytes]:
         """Ids of new fragments, as little-endian int32; those of moderate length are kept."""
         out = {}
+        pieces = self.model.pieces
         for start in range(0, len(fragments), BATCH):
             part = fragments[start : start + BATCH]
-            ours = self.model.encode_normalized(part)
-            theirs = self.checker.encode(part, num_threads=1)
-            for fragment, a, b in zip(part, ours, theirs, strict=True):
-                if a != b:
+            for fragment, a, b in zip(part, *self.ids_of(part), strict=True):
+                packed = b.astype("<i4").tobytes()
+                if a.tobytes() != b.tobytes():
                     self.other.add(fragment)
-                out[fragment] = struct.pack(f"<{len(b)}i", *b)
+                said = "".join([pieces[i] for i in b.tolist()])
+                if said != fragment and self.model.spell(b.tolist()) != fragment:
+                    self.lossy.add(fragment)
+                out[fragment] = packed
         if len(self.known) + len(out) > CACHE:
             self.known.clear()
             self.other &= out.keys()
+            self.lossy &= out.keys()
         self.known.update((k, v) for k, v in out.items() if len(k) <= CACHE_CHARS)
         return out
 
-    def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[int]]:
-        """For each text its ids, as little-endian int32, and how many fragments the libraries differ on."""
-        cut = [self.model.fragment.findall(self.model.normalize(t)) if t else [] for t in texts]
-        ids, differ = [], []
-        for fragments in cut:
-            new = [x for x in dict.fromkeys(fragments) if x not in self.known]
-            more = self.learn(new) if new else {}
-            if more:
-                known = self.known
-                ids.append(b"".join([known[x] if x in known else more[x] if x in more else self.learn([x])[x] for x in fragments]))
-            else:
+    def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[int], list[bool]]:
+        """For each text its ids, as little-endian int32, how many fragments the libraries differ on, and whether it comes back."""
+        ids, differ, same = [], [], []
+        for text in texts:
+            fragments = self.model.fragment.findall(self.model.normalize(text)) if text else []
+            try:
                 ids.append(b"".join(map(self.known.__getitem__, fragments)))
+            except KeyError:
+                known = self.known
+                new = list(dict.fromkeys([x for x in fragments if x not in known]))
+                if len(known) + len(new) > CACHE:  # all is forgotten: what this text needs is learned together
+                    new = list(dict.fromkeys(fragments))
+                more = self.learn(new)
+                ids.append(b"".join([more[x] if x in more else known[x] for x in fragments]))
             differ.append(sum(x in self.other for x in fragments) if self.other else 0)
-        return ids, differ
+            if self.model.plain:
+                whole = SPACE not in (text or "") and not (self.lossy and any(x in self.lossy for x in fragments))
+            else:
+                whole = self.model.decode(np.frombuffer(ids[-1], "<i4").tolist()) == (text or "")
+            same.append(whole)
+        return ids, differ, same
 
 
 _loaded: dict[str, Encoder] = {}
@@ -209,20 +252,14 @@ def encode(df: DataFrame, text: str = "text", path: str = MODEL, ids: bool = Tru
 
     def make():
         encoder = load(path)
-        decoded: dict[bytes, str] = {}
-
-        def back(content: bytes) -> str:
-            return encoder.model.decode(np.frombuffer(content, "<i4").tolist())
-
         def run(column):
             texts = column.to_pylist()
-            packed, differ = encoder.encode(texts)
+            packed, differ, same = encoder.encode(texts)
             out = []
             if ids:
                 values = pa.array(np.frombuffer(b"".join(packed), "<i4"))
                 ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
                 out.append(pa.ListArray.from_arrays(pa.array(ends), values, type=pa.list_(pa.field("element", pa.int32(), False))))
-            same = [back(x) == (t or "") for x, t in zip(packed, texts)]
             digests = [hashlib.sha256(x).hexdigest() for x in packed]
             return [*out, [len(x) // 4 for x in packed], digests, same, differ]
 
