@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracklight.functions.ioc import refang
 
+# Addresses and paths of the two services.
 VT_API, VT_GUI = "https://www.virustotal.com/api/v3", "https://www.virustotal.com/gui"
 ABUSE_API, ABUSE_GUI = "https://api.abuseipdb.com/api/v2/check", "https://www.abuseipdb.com/check"
 #: Paths of the first service's API and pages by indicator type.

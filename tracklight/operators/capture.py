@@ -251,7 +251,7 @@ def free_name(taken: DataFrame, name: str, tries: int = 1000) -> DataFrame:
     return rows.join(taken.select("name"), "name", "left_anti").agg(F.min_by("name", "n").alias("name"))
 
 
-#: Templates of new incidents: id, name, columns and checklist.
+#: Templates of new incidents by id, name and columns.
 TEMPLATES = (
     ("phishing", "Phishing", {"severity": "sev3", "priority": "high", "tags": ["phishing"]}),
     ("malware", "Malware", {"severity": "sev2", "priority": "high", "tags": ["malware"]}),
