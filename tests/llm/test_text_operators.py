@@ -311,6 +311,10 @@ def test_language_of_odd_rows(spark, odd_docs):
     assert language.identify(odd_docs.limit(0), field).count() == 0
 
 
+def test_letters():
+    assert [language.letters(x) for x in ("Ab!", "²", "Ⅷ", "x_1y", "É", "漢字。", "--")] == ["ab", "", "", "xy", "é", "漢字", ""]
+
+
 def test_small_caches_change_nothing(monkeypatch):
     texts = ["alpha beta gamma delta " * 3, "uno dos tres cuatro cinco", "alpha dos", ""] * 3
     field = language.fit(texts[:2], ["en", "es"])

@@ -10,7 +10,6 @@ segments, and segments of different documents are strung together.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,13 +31,12 @@ STEPS, STEP, PENALTY = 30, 0.3, 1e-5
 #: Words that are labelled at once, and words whose scores a worker keeps.
 CHUNK, CACHE = 250_000, 700_000
 UNDETERMINED = "und"
-NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def letters(word: str) -> str:
     """The letters of a word in lower case; a word without any says nothing."""
     word = word.lower()
-    return word if word.isalpha() else NOT_LETTERS.sub("", word)
+    return word if word.isalpha() else "".join(filter(str.isalpha, word))
 
 
 def features(words: list[str]):
