@@ -7,17 +7,22 @@ from pyspark.sql import functions as F
 
 # White space as the case files mean it: with the Unicode spaces.
 SPACE = r"\s\x{0B}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
-# A word border of ASCII words; Java's own knows more letters.
-_EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+# Borders of ASCII words, before and after; Java's own border knows more letters.
+_START, _END = r"(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])", r"(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])"
 _DOT = r"(?:\[\.\]|\(\.\)|\.)"
-#: Shapes of indicators in prose, real or defanged, in the order that decides between equals.
+#: Shapes of indicators in prose, real or defanged, in the order that decides between equals. With each a quick test that any text
+#: with a match passes.
 SHAPES = (
-    ("url", rf"(?i){_EDGE}h(?:xx|tt)ps?(?:\[:\]|:)//[^{SPACE}<>\"')]+"),
-    ("ip", rf"{_EDGE}\d{{1,3}}(?:{_DOT}\d{{1,3}}){{3}}{_EDGE}"),
-    ("hash", rf"(?i){_EDGE}[a-f0-9]{{64}}{_EDGE}|{_EDGE}[a-f0-9]{{40}}{_EDGE}|{_EDGE}[a-f0-9]{{32}}{_EDGE}"),
-    ("email", rf"(?i){_EDGE}[\w.+-]+(?:@|\[at\]|\(at\))[\w-]+(?:{_DOT}[\w-]+)+{_EDGE}"),
-    ("defanged", rf"{_EDGE}[\w-]+(?:(?:\[\.\]|\(\.\))[\w-]+)+{_EDGE}"),
-    ("bare", rf"{_EDGE}[\w-]+(?:\.[\w-]+)+{_EDGE}"),
+    ("url", rf"(?i){_START}h(?:xx|tt)ps?(?:\[:\]|:)//[^{SPACE}<>\"')]+", lambda t: t.contains("//")),
+    ("ip", rf"{_START}\d{{1,3}}(?:{_DOT}\d{{1,3}}){{3}}{_END}", lambda t: t.rlike(rf"\d{_DOT}\d")),
+    ("hash", rf"(?i){_START}(?:[a-f0-9]{{64}}|[a-f0-9]{{40}}|[a-f0-9]{{32}}){_END}", lambda t: t.rlike("[A-Fa-f0-9]{32}")),
+    (
+        "email",
+        rf"(?i){_START}[\w.+-]+(?:@|\[at\]|\(at\))[\w-]+(?:{_DOT}[\w-]+)+{_END}",
+        lambda t: t.contains("@") | t.rlike(r"(?i)[\[(]at[\])]"),
+    ),
+    ("defanged", rf"{_START}[\w-]++(?:(?:\[\.\]|\(\.\))[\w-]+)+{_END}", lambda t: t.contains("[.]") | t.contains("(.)")),
+    ("bare", rf"{_START}[\w-]++(?:\.[\w-]+)+{_END}", lambda t: t.rlike(r"[\w-]\.[\w-]")),
 )
 #: Last labels that make a bare name in prose a domain.
 BARE_TLDS = (
@@ -85,26 +90,35 @@ def _keep(shape: str, value: Column) -> Column | None:
     return None
 
 
-def _hits(text: Column, number: int, shape: str, pattern: str) -> Column:
+def let(value: Column, use) -> Column:
+    """use(value), the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _hits(text: Column, number: int, shape: str, pattern: str, quick) -> Column:
     """array<struct<at, shape, value>> of a shape's matches; at counts characters before the match."""
-    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
-    rest = F.split(text, pattern, -1)
 
-    def place(value: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(rest, F.lit(1), i + 1), F.lit(0), lambda n, x: n + F.length(x))
-        own = F.aggregate(F.slice(found, F.lit(1), i), F.lit(0), lambda n, x: n + F.length(x))
-        clean = refang(F.regexp_replace(value, r"""[),.;:!?'"\]]+$""", ""))
-        return F.struct((before + own).alias("at"), F.lit(number).alias("shape"), clean.alias("value"))
+    def places(both: Column) -> Column:
+        def place(value: Column, i: Column) -> Column:
+            before = F.aggregate(F.slice(both["rest"], F.lit(1), i + 1), F.lit(0), lambda n, x: n + F.length(x))
+            own = F.aggregate(F.slice(both["found"], F.lit(1), i), F.lit(0), lambda n, x: n + F.length(x))
+            clean = refang(F.regexp_replace(value, r"""[),.;:!?'"\]]+$""", ""))
+            return F.struct((before + own).alias("at"), F.lit(number).alias("shape"), clean.alias("value"))
 
-    placed = F.transform(found, place)
-    keep = _keep(shape, F.lit(""))
-    return placed if keep is None else F.filter(placed, lambda x: _keep(shape, x["value"]))
+        return F.transform(both["found"], place)
+
+    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
+    placed = let(F.struct(found.alias("found"), F.split(text, pattern, -1).alias("rest")), places)
+    if _keep(shape, F.lit("")) is not None:
+        placed = F.filter(placed, lambda x: _keep(shape, x["value"]))
+    none = F.expr("slice(array(named_struct('at', 0, 'shape', 0, 'value', '')), 1, 0)")
+    return F.when(quick(text), placed).otherwise(none)
 
 
 def first_of_each(rows: Column) -> Column:
     """Of structs with a value, those whose value, in lower case, no earlier one has."""
     names = F.transform(rows, lambda x: F.lower(x["value"]))
-    return F.filter(rows, lambda x, i: F.array_position(names, F.lower(x["value"])) == i + 1)
+    return let(names, lambda n: F.filter(rows, lambda x, i: F.array_position(n, F.lower(x["value"])) == i + 1))
 
 
 def extract(text: Column | str, existing: Column | None = None) -> Column:
@@ -114,15 +128,15 @@ def extract(text: Column | str, existing: Column | None = None) -> Column:
     are all kept. Null text has none.
     """
     text = F.coalesce(_col(text), F.lit(""))
-    hits = F.array_sort(F.concat(*(_hits(text, i, s, p) for i, (s, p) in enumerate(SHAPES))))
-    return _typed(first_of_each(hits), existing)
+    hits = F.concat(*(_hits(text, i, *shape) for i, shape in enumerate(SHAPES)))
+    return let(F.array_sort(hits), lambda rows: _typed(first_of_each(rows), existing))
 
 
 def parse_paste(text: Column | str, existing: Column | None = None) -> Column:
     """array<struct<type, value>>: the new indicators of a pasted list, parted by white space and commas."""
     parts = F.split(F.coalesce(_col(text), F.lit("")), rf"[{SPACE},]+")
     rows = F.filter(F.transform(parts, lambda x: F.struct(refang(x).alias("value"))), lambda x: x["value"] != "")
-    return _typed(first_of_each(rows), existing)
+    return let(rows, lambda r: _typed(first_of_each(r), existing))
 
 
 def _typed(rows: Column, existing: Column | None) -> Column:
