@@ -79,3 +79,17 @@ def long(name: str) -> T.StructField:
 
 def string(name: str) -> T.StructField:
     return T.StructField(name, T.StringType())
+
+
+_held: dict = {}
+
+
+def held(name: object, make: Callable[[], object]) -> object:
+    """What make() gave for this name in this process; all that other names hold is let go.
+
+    Workers are used again for other operators: a worker keeps the models and caches of one at a time.
+    """
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]

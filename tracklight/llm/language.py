@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracklight.llm.common import map_columns, string
+from tracklight.llm.common import held, map_columns, string
 
 #: Bounds of the training sample: languages, documents of each, and words in all.
 LANGUAGES, DOCUMENTS, TRAIN_WORDS = 64, 300, 120_000
@@ -29,7 +29,7 @@ SEGMENTS, SEGMENT_WORDS = 3, 20
 #: Steps of the fit, their size, and the weight of the penalty.
 STEPS, STEP, PENALTY = 30, 0.3, 1e-5
 #: Words that are labelled at once, and words whose scores a worker keeps.
-CHUNK, CACHE = 250_000, 700_000
+CHUNK, CACHE = 250_000, 500_000
 UNDETERMINED = "und"
 
 
@@ -255,9 +255,6 @@ class Labeller:
             out[todo[k]] = mean
 
 
-_labellers: dict[str, Labeller] = {}
-
-
 def identify(df: DataFrame, field: Field, text: str = "text", drop_text: bool = False) -> DataFrame:
     """`df` with lang_pred (string) and score (double, 0 to 1), from the whole text alone.
 
@@ -271,10 +268,7 @@ def identify(df: DataFrame, field: Field, text: str = "text", drop_text: bool =
     name = uuid.uuid4().hex
 
     def make():
-        if name not in _labellers:
-            _labellers.clear()
-            _labellers[name] = Labeller(shared.value)
-        labeller = _labellers[name]
+        labeller = held(("language", name), lambda: Labeller(shared.value))
 
         def run(column):
             means = labeller.chances(column.to_pylist())

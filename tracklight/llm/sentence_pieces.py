@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tracklight.llm.common import long, map_columns, string
+from tracklight.llm.common import held, long, map_columns, string
 
 MODEL = os.path.join(os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers"), "piece_bpe_32k.model")
 SPACE = "▁"
@@ -30,7 +30,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Fragments kept with their ids in a worker, and the longest that are kept, in characters.
-CACHE, CACHE_CHARS = 700_000, 64
+CACHE, CACHE_CHARS = 500_000, 64
 #: Fragments that are encoded at once, and lines of a text among them.
 BATCH, LINES = 4096, 512
 
@@ -225,14 +225,10 @@ class Encoder:
         return ids, differ, same
 
 
-_loaded: dict[str, Encoder] = {}
-
-
 def load(path: str) -> Encoder:
-    if path not in _loaded:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
-        _loaded[path] = Encoder(path)
-    return _loaded[path]
+    """The encoder of a model file, with the fragments seen by this process."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+    return held(("sentence pieces", path), lambda: Encoder(path))
 
 
 IDS = T.StructField("ids", T.ArrayType(T.IntegerType(), False))

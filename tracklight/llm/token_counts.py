@@ -15,12 +15,12 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 
-from tracklight.llm.common import as_bytes, long, map_columns
+from tracklight.llm.common import as_bytes, held, long, map_columns
 
 #: Vocabulary of the query: one base64 piece and its rank a line; a piece that starts a word begins with a space.
 VOCABULARY = os.path.join(os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers"), "byte_bpe_50k.tiktoken")
 #: Words kept with their counts in a worker; when so many are held, all are forgotten.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 500_000
 #: Longer words are read each time.
 CACHE_BYTES = 64
 
@@ -100,16 +100,15 @@ class LongestMatch:
         return n + tail if tail >= 0 else 1
 
 
-_loaded: dict[str, tuple[LongestMatch, dict[bytes, int]]] = {}
-
-
 def load(path: str) -> tuple[LongestMatch, dict[bytes, int]]:
     """The automaton of a rank file, with the counts of words seen by this process."""
-    if path not in _loaded:
+
+    def make():
         with open(path, "rb") as file:
             pieces = [base64.b64decode(line.split()[0]) for line in file if line.strip()]
-        _loaded[path] = LongestMatch(pieces, marker=b" "), {}
-    return _loaded[path]
+        return LongestMatch(pieces, marker=b" "), {}
+
+    return held(("token counts", path), make)
 
 
 def count_tokens(df: DataFrame, text: str = "text", path: str = VOCABULARY, drop_text: bool = False) -> DataFrame:
