@@ -29,7 +29,7 @@ SEGMENTS, SEGMENT_WORDS = 3, 20
 #: Steps of the fit, their size, and the weight of the penalty.
 STEPS, STEP, PENALTY = 30, 0.3, 1e-5
 #: Words that are labelled at once, and words whose scores a worker keeps.
-CHUNK, CACHE = 250_000, 500_000
+CHUNK, CACHE = 250_000, 300_000
 UNDETERMINED = "und"
 
 
