@@ -1,8 +1,9 @@
 """Licence scans: passages compared to licence templates by the Dice coefficient over word bigrams.
 
-Text and templates are normalised alike. Where bigrams that are rare outside licences lie close
-together is a passage. Dice can reach the threshold only if the sizes of the two are near, so size bounds
-leave few templates for each passage.
+Text and templates are normalised alike. Dice can reach the threshold only if the sizes of the two are near and most
+of a template's bigrams are there, so size bounds leave few templates for a text and few windows for a template. A window
+that doesn't start and end with a bigram of the template is worse than the one inside that does, so only
+those are tried, and all of them.
 """
 
 from __future__ import annotations
@@ -17,9 +18,6 @@ from tracklight.llm.common import as_bytes, long, map_columns, string
 
 #: Least Dice coefficient of a find.
 THRESHOLD = 0.8
-#: Words without a rare bigram within a passage; passages are cut at each of the two widths.
-GAPS = (2, 12)
-
 #: Licences by the names that one-line notices use. Longer texts follow.
 NAMED = {
     "Apache-2.0": ("apache license version 2.0", "apache license 2.0", "apache 2.0 license"),
@@ -56,6 +54,8 @@ NOTICES = (
     "distributed under the terms of {the}{name}",
     "spdx license identifier {spdx}",
 )
+#: Of dual notices, for names of two words and more, three after "the": beside less, the notice's own words alone would reach the threshold.
+DUAL = ("licensed under either of {the}{name}", "or {the}{name} at your option")
 #: Texts of public licences, copyright lines left out.
 TEXTS = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
@@ -101,12 +101,6 @@ commercial or non-commercial, and by any means.""",
 liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any
 purpose, including commercial applications, and to alter it and redistribute it freely.""",
 }
-#: Words that a bigram needs another beside to count as rare.
-COMMON = frozenset(
-    b"a all an and any are as at be by for from in into is it may no not of on one or other shall so such that the this to use "
-    b"was will with without you".split()
-)
-
 #: ASCII marks that part words, but for the point, which stays within a number.
 PART = bytes(c if chr(c).isalnum() or c in b"." or c > 127 or chr(c).isspace() else 32 for c in range(256))
 SPELLINGS = {b"licence": b"license", b"licences": b"licenses", b"licenced": b"licensed"}
@@ -119,14 +113,16 @@ def normalize(text: bytes) -> list[bytes]:
 
 
 class Templates:
-    """The templates by size, with the bigrams that give a passage away."""
+    """The templates by size, and those that have each bigram, with how often."""
 
     def __init__(self) -> None:
         made: dict[tuple[str, tuple[bytes, ...]], None] = {}
         for spdx, names in NAMED.items():
             for name in names:
-                for notice in NOTICES:
+                for notice in NOTICES + DUAL:
                     for the in ("the ", ""):
+                        if notice in DUAL and len(name.split()) < (3 if the else 2):
+                            continue
                         text = notice.format(the=the, name=name, spdx=spdx)
                         made[spdx, tuple(normalize(text.encode()))] = None
         for spdx, text in TEXTS.items():
@@ -134,7 +130,10 @@ class Templates:
         kept = [(len(words) - 1, spdx, Counter(zip(words, words[1:]))) for spdx, words in made]
         self.templates = sorted(kept, key=lambda t: (t[0], t[1]))
         self.sizes = [t[0] for t in self.templates]
-        self.rare = {b for _, _, bag in self.templates for b in bag if not (b[0] in COMMON and b[1] in COMMON)}
+        self.having: dict[tuple[bytes, bytes], list[tuple[int, int]]] = {}
+        for at, (_, _, bag) in enumerate(self.templates):
+            for bigram, k in bag.items():
+                self.having.setdefault(bigram, []).append((at, k))
 
     def best(self, bag: Counter, size: int, threshold: float) -> tuple[float, str] | None:
         """The most alike template; the first name of equals."""
@@ -148,30 +147,44 @@ class Templates:
         return found
 
 
+def windows(hits: list, size: int, spdx: str, bag: Counter, threshold: float) -> list[tuple[int, int, str, float]]:
+    """The finds of one template among the places of its bigrams, overlapping ones included."""
+    longest = size * (2 - threshold) / threshold + 1e-9
+    out = []
+    for a, (first, _) in enumerate(hits):
+        shared, seen = 0, Counter()
+        for at in range(a, len(hits)):
+            last, bigram = hits[at]
+            length = last - first + 1
+            if length > longest:
+                break
+            seen[bigram] += 1
+            if seen[bigram] <= bag[bigram]:
+                shared += 1
+                if (dice := 2 * shared / (length + size)) >= threshold:
+                    out.append((first, last + 2, spdx, dice))
+    return out
+
+
 def scan(text: bytes | None, templates: Templates, threshold: float = THRESHOLD) -> list[tuple[int, int, str, float]]:
     """(first word, word after the last, licence, Dice) of the finds, in order; words are those of normalize()."""
     if not text:
         return []
     words = normalize(text)
-    rare = templates.rare
-    hits = [i for i, b in enumerate(zip(words, words[1:])) if b in rare]
-    if not hits:
-        return []
-    passages = set()
-    for gap in GAPS:
-        start = before = hits[0]
-        for i in [*hits[1:], None]:
-            if i is None or i - before > gap + 1:
-                passages.add((start, before + 2))
-                start = i
-            before = i
+    having = templates.having
+    hits = [(i, b) for i, b in enumerate(zip(words, words[1:])) if b in having]
+    counts = Counter(b for _, b in hits)
+    shared: Counter = Counter()
+    for bigram, k in counts.items():
+        for at, most in having[bigram]:
+            shared[at] += min(k, most)
     found = []
-    for start, end in passages:
-        bag = Counter(zip(words[start:end], words[start + 1 : end]))
-        if (best := templates.best(bag, end - start - 1, threshold)) is not None:
-            found.append((start, end, best[1], best[0]))
+    for at, k in shared.items():
+        size, spdx, bag = templates.templates[at]
+        if k >= size * threshold / (2 - threshold) - 1e-9:
+            found += windows([h for h in hits if h[1] in bag], size, spdx, bag, threshold)
     out = []
-    for find in sorted(found, key=lambda f: (-f[3], f[0] - f[1], f[0])):  # of overlapping finds the best stays
+    for find in sorted(found, key=lambda f: (-f[3], f[0] - f[1], f[0], f[2])):  # of overlapping finds the best stays
         if all(find[1] <= o[0] or find[0] >= o[1] for o in out):
             out.append(find)
     return sorted(out)
