@@ -48,3 +48,19 @@ def test_windows(text, names):
 def test_repeated_text():
     out = licenses.scan(" ".join([licenses.TEXTS["ISC"]] * 2 + ["and", MIT]).encode(), T)
     assert [f[2] for f in out] == ["ISC", "ISC", "MIT"]
+
+
+@pytest.mark.parametrize(
+    ("spdx", "name", "version"),
+    [
+        ("GPL-2.0", "General", "2"), ("GPL-3.0", "General", "3"), ("LGPL-2.1", "Lesser General", "2.1"),
+        ("LGPL-3.0", "Lesser General", "3"), ("AGPL-3.0", "Affero General", "3"),
+    ],
+)
+@pytest.mark.parametrize("thing", ["program", "library"])
+def test_headers_have_their_own_name(spdx, name, version, thing):
+    header = f"""This {thing} is free software; you can redistribute it and/or modify it under the terms of the GNU {name} Public
+    License as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version.
+    This {thing} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} Public License for more details."""
+    assert [f[2] for f in licenses.scan(f"Before it. {header} After it.".encode(), T)] == [spdx]

@@ -88,10 +88,6 @@ from this software without specific prior written permission.""",
 that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
 conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list
 of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.""",
-    "GPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
-Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
-version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
-warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
     "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
 not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
     "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
@@ -101,6 +97,19 @@ commercial or non-commercial, and by any means.""",
 liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any
 purpose, including commercial applications, and to alter it and redistribute it freely.""",
 }
+#: The header of GNU licences, and the name and version each has in it.
+HEADER = """This {thing} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} Public License as
+published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version. This {thing}
+is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or
+FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} Public License for more details."""
+GNU = {
+    "GPL-2.0": ("General", "2"),
+    "GPL-3.0": ("General", "3"),
+    "LGPL-2.1": ("Lesser General", "2.1"),
+    "LGPL-3.0": ("Lesser General", "3"),
+    "AGPL-3.0": ("Affero General", "3"),
+}
+
 #: ASCII marks that part words, but for the point, which stays within a number.
 PART = bytes(c if chr(c).isalnum() or c in b"." or c > 127 or chr(c).isspace() else 32 for c in range(256))
 SPELLINGS = {b"licence": b"license", b"licences": b"licenses", b"licenced": b"licensed"}
@@ -127,6 +136,9 @@ class Templates:
                         made[spdx, tuple(normalize(text.encode()))] = None
         for spdx, text in TEXTS.items():
             made[spdx, tuple(normalize(text.encode()))] = None
+        for spdx, (name, version) in GNU.items():
+            for thing in ("program", "library"):
+                made[spdx, tuple(normalize(HEADER.format(thing=thing, name=name, version=version).encode()))] = None
         kept = [(len(words) - 1, spdx, Counter(zip(words, words[1:]))) for spdx, words in made]
         self.templates = sorted(kept, key=lambda t: (t[0], t[1]))
         self.sizes = [t[0] for t in self.templates]
