@@ -46,7 +46,15 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S
 )
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+CLASSES = re.compile(r"""(?:^|\s)(?:class|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'=/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+#: A quick test for attributes that may hide an element; hides() decides.
+HIDDEN = re.compile(r"hidden|display", re.I)
+INVISIBLE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+#: Elements that marks can drop; headings, paragraphs and inline elements are content whatever their names.
+PARTS = frozenset("address blockquote center dd details dir div dl dt fieldset figcaption figure header hgroup li ol section summary table tbody td tfoot th thead tr ul".split())
+#: A part that is marked by its id alone is kept from this many characters on, if few are in links and it is a headed part or section of an article.
+TEXT_CHARS, TEXT_LINKED = 80, 0.25
 
 #: Characters of a paragraph for which it earns a point, and the most points for length.
 CHARS_A_POINT, MOST_POINTS = 100, 3
@@ -54,8 +62,21 @@ CHARS_A_POINT, MOST_POINTS = 100, 3
 LINKED = 0.5
 
 
+def hides(attributes: str) -> bool:
+    """Whether an element is hidden by its attributes: by their names and values, not by words in other values."""
+    for name, value in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), value.strip("\"'").strip()
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and INVISIBLE.search(value)):
+            return True
+    return False
+
+
+def marked(names: str) -> bool:
+    return bool(names) and bool(MARKED.search(names)) and not MAIN.search(names)
+
+
 class Node:
-    __slots__ = ("block", "children", "commas", "dropped", "link", "name", "names", "own", "parent", "score", "size")
+    __slots__ = ("block", "children", "commas", "doubtful", "dropped", "link", "name", "names", "own", "parent", "score", "size")
 
     def __init__(self, name: str, parent: Node | None, attributes: str = ""):
         self.name, self.parent = name, parent
@@ -65,10 +86,13 @@ class Node:
         self.size = self.link = 0  # characters of text, and of text in links
         self.own = self.commas = 0  # characters and commas of a block outside the blocks in it
         self.block: Node = self
+        mark = name in PARTS and marked(self.names)
+        #: Marked by an id alone, as slugs of headings are: its text decides.
+        self.doubtful = mark and not marked(" ".join(x.strip("\"'") for x in CLASSES.findall(attributes)))
         self.dropped = (
             name in DROPPED
-            or bool(attributes and HIDDEN.search(attributes))
-            or (name not in ("article", "main", "body", "html") and bool(self.names) and bool(MARKED.search(self.names)) and not MAIN.search(self.names))
+            or bool(attributes and HIDDEN.search(attributes) and hides(attributes))
+            or (mark and not self.doubtful)
             or (name == "header" and not inside(parent))
         )
 
@@ -147,8 +171,31 @@ def walk(root: Node):
         todo.extend(x for x in reversed(node.children) if isinstance(x, Node) and not x.dropped)
 
 
+def prose(node: Node) -> bool:
+    """Whether a part looks like article text: one with a heading, or a section, within a main part, with enough text and few links."""
+    size = link = 0
+    heading = False
+    todo = [(node, False)]
+    while todo:
+        x, linked = todo.pop()
+        for y in x.children:
+            if isinstance(y, str):
+                n = len(y.strip())
+                size, link = size + n, link + n * linked
+            elif not y.dropped:
+                heading |= y.name in ("h1", "h2", "h3", "h4", "h5", "h6")
+                todo.append((y, linked or y.name == "a"))
+    above = node.parent
+    while above is not None and above.name not in ("article", "main") and not MAIN.search(above.names):
+        above = above.parent
+    return (heading or node.name == "section") and above is not None and size >= TEXT_CHARS and link < TEXT_LINKED * size
+
+
 def measure(root: Node) -> list[Node]:
     """Sizes and scores of the kept elements; gives them all, parents first."""
+    for node in reversed(list(walk(root))):
+        if node.doubtful and not node.dropped:
+            node.dropped = not prose(node)
     nodes = list(walk(root))
     for node in nodes:
         node.block = node if node.name in BLOCKS or node.parent is None else node.parent.block
