@@ -179,7 +179,8 @@ def train(docs: DataFrame, documents: int = DOCUMENTS) -> Field:
     """A field fitted to about `documents` of each of the LANGUAGES most frequent values of lang.
 
     docs has doc_id, text and lang; rows whose text or lang is null teach nothing. The sample is those
-    whose hash of doc_id is below the share that their language needs.
+    whose hash of doc_id is below the share that their language needs. Documents of other values of lang can never get their
+    language; the TRAIN_WORDS words are a total over all languages, so many languages have few words each.
     """
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
