@@ -29,7 +29,10 @@ def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target, taken, position of every document, sorted by position."""
+    """doc_id, size, source_size, target, taken, position of every document, sorted by position: that of the first pass over its source.
+
+    Words that a second pass takes have their position in position2 of mix(), which isn't given here.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words().alias("size"))
     mixed = mixing.in_order(mixing.mix(checkpoint(docs)))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "position")
