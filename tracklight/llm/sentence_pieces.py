@@ -217,7 +217,7 @@ class Encoder:
                 more = self.learn(new)
                 ids.append(b"".join([more[x] if x in more else known[x] for x in fragments]))
             differ.append(sum(x in self.other for x in fragments) if self.other else 0)
-            if self.model.plain:
+            if self.model.plain:  # decode() isn't run: each fragment's pieces were spelled once when it was learned
                 whole = SPACE not in (text or "") and not (self.lossy and any(x in self.lossy for x in fragments))
             else:
                 whole = self.model.decode(np.frombuffer(ids[-1], "<i4").tolist()) == (text or "")
