@@ -240,7 +240,7 @@ def encode(df: DataFrame, text: str = "text", path: str = MODEL, ids: bool = Tru
 
     ids (array of int, if asked for), n_tokens (long), ids_sha256 (hex digest of the ids as
     little-endian int32), round_trip (boolean: decoding gives the text as it was; false where the text
-    holds the marker U+2581 itself) and n_mismatches (long: fragments on which the tokenizers and the
+    holds the marker U+2581 itself; with a plain model told from each fragment's pieces, without decode()) and n_mismatches (long: fragments on which the tokenizers and the
     sentencepiece library differ; the latter's ids hold there). Null and empty texts have no ids. Neither
     start nor end pieces are added, and strings of control pieces are ordinary text. Columns of `df` with these names
     are replaced, other columns and repeated rows stay.
