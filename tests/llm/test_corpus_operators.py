@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tracklight.llm import chat, mixing, simhash, vector_dups
+from tracklight.llm import chat, jaccard, mixing, simhash, vector_dups
 from tracklight.llm.components import connected_components, stars
 from tracklight.llm.queries import ORACLE_SQL, QUERIES
 
@@ -126,42 +126,6 @@ def test_simhash_query(spark):
     check_components(rows)
 
 
-@pytest.mark.parametrize("tile", [2048, 9])
-def test_similar_documents(spark, tile):
-    """Groups join all that are well within the radius, and nothing that isn't linked by it."""
-    rng = random.Random(13)
-    rows = []
-    for _ in range(30):
-        base = rng.getrandbits(256)
-        for _ in range(rng.choice([1, 2, 4, 20])):
-            rows.append(base ^ sum(1 << b for b in rng.sample(range(256), rng.choice([0, 3, 12, 40]))))
-    words = [[int(np.uint64(p >> 64 * w & 2**64 - 1).astype(np.int64)) for w in range(4)] for p in rows]
-    df = spark.createDataFrame([(i, *w) for i, w in enumerate(words)], "_row long, fp0 long, fp1 long, fp2 long, fp3 long")
-    out = {r["_row"]: r["group"] for r in simhash.similar_documents(df, "_row", tile).collect()}
-    assert len(out) == len(rows)
-    pairs = lambda most: [(i, j) for i in range(len(rows)) for j in range(i) if (rows[i] ^ rows[j]).bit_count() <= most]
-    assert all(out[i] == out[j] for i, j in pairs(24))
-    roots = reachable(len(rows), pairs(simhash.WIDE_RADIUS))
-    ours = {}
-    for i, g in out.items():
-        ours.setdefault(g, set()).add(roots[i])
-    assert all(len(x) == 1 for x in ours.values())
-    assert simhash.similar_documents(df.limit(0), "_row").count() == 0
-
-
-def test_near_copies_are_similar():
-    rng = random.Random(17)
-    for _ in range(60):
-        words = ["w%d" % rng.randrange(4000) for _ in range(rng.randint(60, 400))]
-        copy = list(words)
-        for _ in range(max(1, len(words) // 100)):
-            copy[rng.randrange(len(copy))] = "changed"
-        other = ["w%d" % rng.randrange(4000) for _ in words]
-        prints = [simhash.wide_fingerprint(" ".join(x).encode()) for x in (words, copy, other)]
-        far = lambda a, b: sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(a, b))
-        assert far(prints[0], prints[1]) <= simhash.WIDE_RADIUS < far(prints[0], prints[2])
-
-
 # 4, 8 and 10 against SQL.
 
 
@@ -344,7 +308,7 @@ def test_dedup_and_mixing_stages(spark, odd_docs, tmp_path):
     assert kept.columns == docs.columns
     rows = kept.collect()
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    groups = simhash.similar_documents(simhash.wide_fingerprints(numbered.select("_row", "text")), "_row")
+    groups = jaccard.similar_groups(numbered, "_row")
     assert len(rows) == groups.select("group").distinct().count()
     assert len([r for r in rows if r.doc_id == 4]) == 1 and not [r for r in rows if r.doc_id == 5]
     kept.write.parquet(str(tmp_path / "kept"))

@@ -3,11 +3,13 @@
 import base64
 import hashlib
 import random
+import struct
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tracklight.llm import html_text, language, licenses, quality, sentence_pieces, token_counts
 from tracklight.llm.queries import QUERIES
@@ -84,6 +86,59 @@ def test_whole_table_has_no_mismatch(spark):
     assert all(r.n_mismatches == 0 and r.round_trip for r in out)
 
 
+def varint(n):
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def field_(number, value):
+    """A protocol buffer's field: an int as a varint, a float in four bytes, else bytes."""
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def unigram_model(path, trim=True, prefix=True, fallback=True):
+    """A model file of a unigram model, written by hand."""
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
+    pieces += [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] if fallback else []
+    words = {"▁": -3.0, "▁the": -4.0, "▁cat": -6.0, "▁c": -5.5, "at": -5.0, "t": -7.0, "h": -7.1, "e": -7.2, "a": -7.3, "c": -7.4, "s": -6.0, "▁sat": -8.0, "▁th": -6.5, "he": -6.6, "é": -9.0}
+    pieces += [(p, v, 1) for p, v in words.items()]
+    out = b"".join(field_(1, field_(1, p.encode()) + field_(2, v) + field_(3, k)) for p, v, k in pieces)
+    out += field_(2, field_(3, 1) + field_(35, int(fallback)))
+    out += field_(3, field_(1, b"identity") + field_(3, int(prefix)) + field_(4, int(trim)) + field_(5, 1))
+    path.write_bytes(out)
+    return str(path)
+
+
+@pytest.mark.parametrize(("trim", "prefix", "fallback"), [(True, True, True), (False, True, True), (True, False, True), (True, True, False)])
+def test_unigram_model(spark, tmp_path, trim, prefix, fallback):
+    """A unigram model in all its settings agrees with the sentencepiece library, encoding and decoding."""
+    import sentencepiece
+
+    path = unigram_model(tmp_path / "unigram.model", trim, prefix, fallback)
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["the cat sat", "thecat", "  the  cat ", "hat é cats", "", None, "the cat\nsat the", "aaaa tttt", "sat"] + (["zebra 漢 x", "q"] if fallback else [])
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in sentence_pieces.decode(sentence_pieces.encode(df, path=path), path=path).collect():
+        ids = library.encode(r.text or "")
+        assert (r.ids, r.n_mismatches) == (ids, 0), r.text
+        assert r.decoded == library.decode(ids)
+        assert r.round_trip == (r.decoded == (r.text or ""))
+
+
+def test_pieces_of_clashing_columns(spark, odd_docs):
+    clash = odd_docs.withColumns({"ids": F.lit("x"), "n_tokens": F.lit("y"), "round_trip": F.lit(3), "decoded": F.lit(1)})
+    out = sentence_pieces.decode(sentence_pieces.encode(clash))
+    assert [c for c in out.columns if c == "ids"] == ["ids"] and out.count() == odd_docs.count()
+    assert all(isinstance(r.n_tokens, int) and isinstance(r.ids, list) for r in out.collect())
+    assert sentence_pieces.encode(clash.limit(0)).count() == 0
+
+
 # 5. Pages.
 
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="page">
@@ -280,6 +335,30 @@ def test_words_score_alike_alone_and_together():
     assert np.allclose(together, np.concatenate([field.emissions([w]) for w in words]), atol=1e-5)
 
 
+def test_every_language_is_learned(spark):
+    """A table of 80 languages: each has words of its own, and gets its own documents back."""
+    rng = random.Random(31)
+    words = {k: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for k in range(80)}
+    docs = [(i, " ".join(rng.choice(words[i % 80]) for _ in range(40)), f"l{i % 80:02d}") for i in range(320)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    field = language.train(df)
+    assert len(field.languages) == 80
+    out = language.identify(df, field).collect()
+    assert np.mean([r.lang_pred == r.lang for r in out]) > 0.99
+
+
+def test_lexicon():
+    counts = {("le", "fr"): 9, ("le", "it"): 1, ("casa", "it"): 3, ("casa", "es"): 3, ("rare", "en"): 1, ("of", "en"): 4}
+    known = language.lexicon(counts, ["en", "es", "fr", "it"])
+    codes = known.look_up(language.spelled(["le", "casa", "rare", "of", "other"])[3]).tolist()
+    assert codes == [1 + 2 * 2 + 1, 1 + 2 * 1, 0, 1 + 1, 0]
+    field = language.fit(["alpha beta " * 30, "alpha beta " * 5, "gamma delta " * 30, "gamma delta"], ["en", "en", "es", "es"])
+    assert len(field.lexicon.hashes) == 4
+    codes = field.lexicon.look_up(language.spelled(["alpha", "delta"])[3])
+    rows = [next(r for i, (r, _, _) in enumerate(language.features([w], field.lexicon)) if i == 1)[0] for w in ("alpha", "delta")]
+    assert codes.tolist() == [2, 4] and field.weights[rows[0]].argmax() == 0 and field.weights[rows[1]].argmax() == 1
+
+
 def test_code_switching():
     field = language.fit(["hello there world of many words " * 30, "bonjour le monde des jolis mots " * 30], ["en", "fr"])
     labeller = language.Labeller(field)
@@ -319,7 +398,7 @@ def test_small_caches_change_nothing(monkeypatch):
     texts = ["alpha beta gamma delta " * 3, "uno dos tres cuatro cinco", "alpha dos", ""] * 3
     field = language.fit(texts[:2], ["en", "es"])
     whole = language.Labeller(field).chances(texts)
-    monkeypatch.setattr(language, "CACHE", 3)
+    monkeypatch.setattr(language, "CACHE", 700)
     monkeypatch.setattr(language, "CHUNK", 4)
     few = language.Labeller(field).chances(texts)
     assert all((a is None) == (b is None) and (a is None or np.allclose(a, b)) for a, b in zip(whole, few))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -22,19 +26,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """`df` as a written copy in the shared folder, so that a lost executor costs no recomputation of what led to it.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share: the one the session names in spark.checkpoint.dir.
 
-    The folder is the one the session names in spark.checkpoint.dir; where that is unset, as in tests
-    on one machine, a temporary one.
+    Where that is unset, a temporary one serves a local master, as in tests; on a cluster it is an error, as other
+    machines couldn't read it.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """`df` as a written copy in the shared folder, so that a lost executor costs no recomputation of what led to it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+#: A key with more than one row in HOT is hot: there are at most HOT of them, whatever the size of the table.
+HOT = 1000
+
+
+def join_counted(rows: DataFrame, lookup: DataFrame, on: Sequence[str], count: str, how: str = "inner", total: int | None = None) -> DataFrame:
+    """`rows` joined with a lookup of one row a key, without its column `count`, the number of `rows` of that key.
+
+    Hot keys, of which there are at most HOT, are joined by a broadcast and the others by a shuffle, so that no task gets
+    all rows of a hot key. Both tables are read more than once: they should be checkpoints, or cheap. Null keys find nothing.
+    `total`, if known, is the number of rows, or a little more.
+    """
+    if total is None:
+        total = lookup.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * HOT > total
+    few = F.broadcast(lookup.where(hot).drop(count))
+    rest = rows.join(F.broadcast(lookup.where(hot).select(*on)), [*on], "left_anti")
+    return rows.join(few, [*on]).unionByName(rest.join(lookup.where(~hot).drop(count), [*on], how), allowMissingColumns=True)
+
+
 def map_columns(
     df: DataFrame,
     make: Callable[[], Callable[..., Sequence[pa.Array]]],
@@ -58,7 +89,7 @@ def map_columns(
     wanted = df.select(*dict.fromkeys([*names, *inputs]))
 
     def run(batches):
-        function = make()
+        function = fresh(make)
         for batch in batches:
             at = {name: i for i, name in enumerate(batch.schema.names)}
             made = function(*(batch.column(at[c]) for c in inputs))
@@ -82,14 +113,46 @@ def string(name: str) -> T.StructField:
 
 
 _held: dict = {}
+_used: list = []
 
 
-def held(name: object, make: Callable[[], object]) -> object:
-    """What make() gave for this name in this process; all that other names hold is let go.
+def fresh(make: Callable[[], Callable]) -> Callable:
+    """make(), after which this process holds only what make() asked for.
 
-    Workers are used again for other operators: a worker keeps the models and caches of one at a time.
+    Workers are used again for other operators. A task that holds nothing lets go of what earlier ones held, so that no
+    operator's memory counts against the next.
     """
+    _used.clear()
+    out = make()
+    if not _used:
+        let_go()
+    return out
+
+
+def let_go() -> None:
+    """Forgets what this process holds, and gives the memory back."""
+    _held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call, memory is kept for what comes next
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def held(name: object, make: Callable[[], object]) -> object:
+    """What make() gave for this name in this process; all that other names hold is let go. A process holds one thing at a time."""
+    _used.append(name)
     if name not in _held:
-        _held.clear()
+        if _held:
+            let_go()
         _held[name] = make()
     return _held[name]
+
+
+def letting_go(function: Callable) -> Callable:
+    """A function of batches, after it has let go of what this process holds."""
+
+    def run(batches):
+        fresh(lambda: function)
+        yield from function(batches)
+
+    return run

@@ -6,16 +6,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklight.llm.common import checkpoint
+from tracklight.llm.common import checkpoint, join_counted
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root (long) for every node of the links: root is the smallest node that can be reached.
 
     Large-star and small-star steps alternate until nothing changes, a number of rounds logarithmic
-    in the longest chain. The smallest neighbour is an aggregate that is joined back, so a node with very many links
-    is never gathered in one task. Each round is checkpointed. Links with a null end and links of a
-    node with itself count for nothing; without links the result is empty.
+    in the longest chain. The smallest neighbour is an aggregate that is joined back; nodes with very many links get it by
+    a broadcast of at most HOT rows, so their links are never gathered in one task. Each round is checkpointed. Links with
+    a null end and links of a node with itself count for nothing; without links the result is empty.
     """
     edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     seen = None
@@ -26,11 +26,15 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v")).distinct()
         seen = mark
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = smallest(both, F.least("u", F.min("v")), 2 * mark[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = checkpoint(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        edges = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).distinct()
+        edges = smallest(large, F.min("v"), 2 * mark[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).distinct()
+
+
+def smallest(edges: DataFrame, least: F.Column, total: int) -> DataFrame:
+    """u, v and m: the aggregate `least` over the links of u, of at most `total`."""
+    return join_counted(edges, edges.groupBy("u").agg(least.alias("m"), F.count("*").alias("_n")), ["u"], "_n", total=total)
 
 
 def stars(linked: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

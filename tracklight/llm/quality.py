@@ -108,21 +108,24 @@ def statistics(text: bytes | None) -> tuple[list[int], list[float]]:
     ]
 
 
-def describe(df: DataFrame, text: str = "text", drop_text: bool = False) -> DataFrame:
+def describe(df: DataFrame, text: str = "text", drop_text: bool = False, forest: Forest | None = None) -> DataFrame:
     """`df` with the BASE counts (long) and features (array of double) of the whole text; null counts as empty.
 
-    Repeated rows keep theirs; columns of `df` of these names are replaced, others stay.
+    With `forest`, its score (double) stands in place of features. Repeated rows keep theirs; columns of `df` of these names are
+    replaced, others stay.
     """
-    fields = [*map(long, BASE), T.StructField("features", T.ArrayType(T.DoubleType()))]
+    last = T.StructField("score", T.DoubleType()) if forest else T.StructField("features", T.ArrayType(T.DoubleType()))
 
     def make():
         def run(column):
             found = [statistics(x) for x in as_bytes(column)]
-            return [*([x[0][i] for x in found] for i in range(len(BASE))), [x[1] for x in found]]
+            rows = [x[1] for x in found]
+            made = forest.score(np.array(rows, float).reshape(len(rows), len(FEATURES))) if forest else rows
+            return [*([x[0][i] for x in found] for i in range(len(BASE))), made]
 
         return run
 
-    return map_columns(df, make, [text], fields, drop=[text] if drop_text else [])
+    return map_columns(df, make, [text], [*map(long, BASE), last], drop=[text] if drop_text else [])
 
 
 @dataclass
@@ -231,28 +234,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
     return fit(x, rows["quality"].to_numpy(float))
 
 
-def judge(described: DataFrame, forest: Forest, keep: float = KEEP) -> DataFrame:
-    """`described` with base_failed, kept (boolean) and score (double) in place of features.
+def rate(docs: DataFrame, labels: DataFrame, drop_text: bool = False, keep: float = KEEP) -> DataFrame:
+    """`docs`, which have doc_id and text, with the BASE counts, score (double), base_failed and kept (boolean).
 
+    The trees are fitted on their own labelled rows. Described and scored in one pass.
     base_failed: fewer than FEWEST words, or over REPEATS hundredths of the words in repeated windows.
     kept: not base_failed, and the trees give a chance of at least `keep`. Columns of these names are replaced.
+    An empty table gives no rows; without labels the base rule alone decides.
     """
-
-    def make():
-        def run(column):
-            values = column.flatten().to_numpy(zero_copy_only=False)
-            return [forest.score(values.reshape(len(column), len(FEATURES)))]
-
-        return run
-
-    scored = map_columns(described, make, ["features"], [T.StructField("score", T.DoubleType())], drop=["features"])
+    scored = describe(docs, drop_text=drop_text, forest=train(docs, labels))
     failed = (F.col("n_words") < FEWEST) | (100 * F.col("n_repeat_words") > REPEATS * F.col("n_words"))
     return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= keep))
-
-
-def rate(docs: DataFrame, labels: DataFrame, drop_text: bool = False) -> DataFrame:
-    """`docs`, which have doc_id and text, described and judged by trees fitted on their own labelled rows.
-
-    An empty table gives no rows; without labels the base rule alone decides.
-    """
-    return judge(describe(docs, drop_text=drop_text), train(docs, labels))

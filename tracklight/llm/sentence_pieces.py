@@ -3,8 +3,9 @@
 The model file is a protocol buffer; it is parsed here, without generated code. From it the
 normaliser, the metaspace marker and the model are rebuilt: unigram scores with byte fallback for a
 unigram model, merges in the order of the scores with byte fallback for a BPE model. Batches are
-encoded multithreaded. Parity: every text fragment that a worker encodes for the first time is encoded by the
-sentencepiece library too, and where the ids differ, that library's ids hold and the fragment counts as a mismatch.
+encoded multithreaded, and the ids are this backend's. Parity: every text fragment that a worker encodes for the first time is encoded by
+the sentencepiece library too, and where the ids differ, the fragment counts as a mismatch; it is decoded by this backend too, and
+where that doesn't give the fragment back, texts that hold it don't come back.
 
 Where no piece of the vocabulary reaches over a border of words, a text's ids are those of its
 fragments in turn, so each distinct fragment is encoded once by a worker that remembers it.
@@ -30,9 +31,9 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Fragments kept with their ids in a worker, and the longest that are kept, in characters.
-CACHE, CACHE_CHARS = 400_000, 64
-#: Fragments that are encoded at once, and lines of a text among them.
-BATCH, LINES = 4096, 512
+CACHE, CACHE_CHARS = 300_000, 64
+#: Fragments that are encoded at once, lines of a text among them, and fragments of the texts that are looked up together.
+BATCH, LINES, TOGETHER = 4096, 512, 100_000
 
 
 def _fields(data: bytes):
@@ -89,6 +90,8 @@ class PieceModel:
         self.add_prefix, trim, escape = (bool(rules.get(n, 1)) for n in (3, 4, 5))
         self.charsmap = rules.get(2, b"")
         unknown = self.kinds.index(UNKNOWN)
+        #: What pieces say: those of the vocabulary, and for the unknown piece the surface that the model file names.
+        self.spoken = [*self.pieces[:unknown], trainer.get(44, " \u2047 ".encode()).decode(), *self.pieces[unknown + 1 :]]
         ids = {p: i for i, p in enumerate(self.pieces)}
         normal = {p for p, k in zip(self.pieces, self.kinds) if k in (NORMAL, USER_DEFINED)}
         if kind == UNIGRAM:
@@ -98,7 +101,7 @@ class PieceModel:
             for piece in sorted((p for p in normal if len(p) > 1), key=lambda p: -self.scores[ids[p]]):
                 halves = [(piece[:i], piece[i:]) for i in range(1, len(piece)) if piece[:i] in normal and piece[i:] in normal]
                 merges += sorted(halves, key=lambda h: (ids[h[0]], ids[h[1]]))
-            model = models.BPE(ids, merges, unk_token=self.pieces[unknown], fuse_unk=True, byte_fallback=fallback)
+            model = models.BPE(ids, merges, cache_capacity=0, unk_token=self.pieces[unknown], fuse_unk=True, byte_fallback=fallback)
         self.tokenizer = Tokenizer(model)
         steps = [normalizers.Precompiled(self.charsmap)] if self.charsmap else []
         if trim:
@@ -108,7 +111,8 @@ class PieceModel:
         self.normalizer = normalizers.Sequence(steps)
         self.plain = not self.charsmap and not trim and escape
         undo = [decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse()]
-        self.decoder = decoders.Sequence(undo + ([decoders.Strip(" ", 1, 0)] if self.add_prefix else []))
+        self.inner = decoders.Sequence(undo)  # of ids that aren't a text's first
+        self.decoder = decoders.Sequence(undo + [decoders.Strip(" ", 1, 0)]) if self.add_prefix else self.inner
         for i in (i for i, k in enumerate(self.kinds) if k == CONTROL):
             self.decoder_skips = {*getattr(self, "decoder_skips", ()), i}
         over = re.compile(rf"[^{SPACE}]{SPACE}|\n")
@@ -128,18 +132,10 @@ class PieceModel:
     def encode_normalized(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def spell(self, ids) -> str:
-        """What pieces say before the marker is undone."""
-        out = b""
-        for i in ids:
-            piece = self.pieces[i]
-            out += bytes([int(piece[3:5], 16)]) if self.kinds[i] == BYTE else piece.encode()
-        return out.decode("utf-8", "replace")
-
     def decode(self, ids) -> str:
         """The text of ids; control pieces say nothing."""
         skips = getattr(self, "decoder_skips", ())
-        return self.decoder.decode([self.pieces[i] for i in ids if i not in skips])
+        return self.decoder.decode([self.spoken[i] for i in ids if i not in skips])
 
 
 class Encoder:
@@ -151,7 +147,7 @@ class Encoder:
         self.model = PieceModel(path)
         self.known: dict[str, bytes] = {}
         self.other: set[str] = set()  # fragments on which the libraries differ
-        self.lossy: set[str] = set()  # fragments that aren't what their ids say
+        self.lossy: set[str] = set()  # fragments that decoding doesn't give back
         # the same model with add_dummy_prefix and remove_extra_whitespaces off, so that a fragment is read as it is:
         # of a field that is given twice, protocol buffers take the last
         with open(path, "rb") as file:
@@ -160,41 +156,48 @@ class Encoder:
         end = self.checker.encode("\n")
         self.line_end = end[0] if self.model.separable and len(end) == 1 else None
 
-    def ids_of(self, fragments: list[str]) -> tuple[list, list]:
-        """Ids of fragments by either library, as int32 arrays.
+    def lost(self, text: str, ids) -> bool:
+        """Whether decoding doesn't give a normalised text back."""
+        pieces = self.model.spoken
+        return self.model.inner.decode([pieces[i] for i in ids]) != text.replace(SPACE, " ")
+
+    def ids_of(self, fragments: list[str]) -> tuple[list[bytes], list[bytes], list[bool]]:
+        """Ids of fragments by either library, as little-endian int32, and whether decoding loses something.
 
         Where lines' ends stand alone, fragments are encoded as the lines of a few long texts, several at once by
-        the threads of the library, and cut at the line ends' ids.
+        the threads of the library, and cut at the line ends' ids; texts that decode whole have lost no line.
         """
         if self.line_end is not None and "\n" not in fragments:
             texts = ["\n".join(fragments[i : i + LINES]) for i in range(0, len(fragments), LINES)]
-            found = []
+            found, lossy = [], []
             for rows in (self.model.encode_normalized(texts), self.checker.encode(texts, num_threads=1)):
                 cut = []
-                for ids in rows:
-                    ids = np.array(ids, np.int32)
-                    ends = np.flatnonzero(ids == self.line_end)
-                    cut += [ids[i:j] for i, j in zip([0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)])]
+                for text, ids in zip(texts, rows):
+                    if not found:
+                        lossy += [self.lost(text, ids)] * (text.count("\n") + 1)
+                    ids = np.array(ids, "<i4")
+                    ends = 4 * np.flatnonzero(ids == self.line_end)
+                    packed = ids.tobytes()
+                    cut += [packed[i:j] for i, j in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(packed)])]
                 found.append(cut)
             if len(found[0]) == len(found[1]) == len(fragments):
-                return found[0], found[1]
+                pairs = zip(fragments, found[0], lossy)
+                return *found, [bad and self.lost(x, np.frombuffer(ids, "<i4").tolist()) for x, ids, bad in pairs]
         ours, theirs = self.model.encode_normalized(fragments), self.checker.encode(fragments, num_threads=1)
-        return [np.array(x, np.int32) for x in ours], [np.array(x, np.int32) for x in theirs]
+        lossy = [self.lost(x, ids) for x, ids in zip(fragments, ours)]
+        return [np.array(x, "<i4").tobytes() for x in ours], [np.array(x, "<i4").tobytes() for x in theirs], lossy
 
     def learn(self, fragments: list[str]) -> dict[str, bytes]:
         """Ids of new fragments, as little-endian int32; those of moderate length are kept."""
         out = {}
-        pieces = self.model.pieces
         for start in range(0, len(fragments), BATCH):
             part = fragments[start : start + BATCH]
-            for fragment, a, b in zip(part, *self.ids_of(part), strict=True):
-                packed = b.astype("<i4").tobytes()
-                if a.tobytes() != b.tobytes():
-                    self.other.add(fragment)
-                said = "".join([pieces[i] for i in b.tolist()])
-                if said != fragment and self.model.spell(b.tolist()) != fragment:
-                    self.lossy.add(fragment)
-                out[fragment] = packed
+            ours, theirs, lossy = self.ids_of(part)
+            out.update(zip(part, ours, strict=True))
+            if ours != theirs:
+                self.other.update(x for x, a, b in zip(part, ours, theirs) if a != b)
+            if any(lossy):
+                self.lossy.update(x for x, bad in zip(part, lossy) if bad)
         if len(self.known) + len(out) > CACHE:
             self.known.clear()
             self.other &= out.keys()
@@ -205,29 +208,38 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[int], list[bool]]:
         """For each text its ids, as little-endian int32, how many fragments the libraries differ on, and whether it comes back."""
         ids, differ, same = [], [], []
-        for text in texts:
-            fragments = self.model.fragment.findall(self.model.normalize(text)) if text else []
-            try:
-                ids.append(b"".join(map(self.known.__getitem__, fragments)))
-            except KeyError:
-                known = self.known
-                new = list(dict.fromkeys([x for x in fragments if x not in known]))
-                if len(known) + len(new) > CACHE:  # all is forgotten: what this text needs is learned together
-                    new = list(dict.fromkeys(fragments))
-                more = self.learn(new)
-                ids.append(b"".join([more[x] if x in more else known[x] for x in fragments]))
-            differ.append(sum(x in self.other for x in fragments) if self.other else 0)
-            if self.model.plain:  # decode() isn't run: each fragment's pieces were spelled once when it was learned
-                whole = SPACE not in (text or "") and not (self.lossy and any(x in self.lossy for x in fragments))
-            else:
-                whole = self.model.decode(np.frombuffer(ids[-1], "<i4").tolist()) == (text or "")
-            same.append(whole)
+        at = 0
+        while at < len(texts):
+            rows, n = [], 0
+            while at < len(texts) and n < TOGETHER:
+                text = texts[at]
+                rows.append((text or "", self.model.fragment.findall(self.model.normalize(text)) if text else []))
+                n += len(rows[-1][1])
+                at += 1
+            kinds = set().union(*(x for _, x in rows))
+            new = [x for x in kinds if x not in self.known]
+            if len(self.known) + len(new) > CACHE:  # all is forgotten: what these texts need is learned together
+                new = list(kinds)
+            more = self.learn(new)
+            known = self.known
+            for text, fragments in rows:
+                try:
+                    packed = b"".join(map(known.__getitem__, fragments))
+                except KeyError:  # some are too long to be kept
+                    packed = b"".join([more[x] if x in more else known[x] for x in fragments])
+                ids.append(packed)
+                differ.append(sum(x in self.other for x in fragments) if self.other else 0)
+                if self.model.plain:  # each fragment was decoded when it was learned, and no character reaches over a border of fragments
+                    same.append(SPACE not in text and not (self.lossy and any(x in self.lossy for x in fragments)))
+                else:
+                    same.append(self.model.decode(np.frombuffer(packed, "<i4").tolist()) == text)
         return ids, differ, same
 
 
 def load(path: str) -> Encoder:
     """The encoder of a model file, with the fragments seen by this process."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+    os.environ.setdefault("RAYON_NUM_THREADS", "2")  # a worker stands beside others of its executor
     return held(("sentence pieces", path), lambda: Encoder(path))
 
 
@@ -240,8 +252,8 @@ def encode(df: DataFrame, text: str = "text", path: str = MODEL, ids: bool = Tru
 
     ids (array of int, if asked for), n_tokens (long), ids_sha256 (hex digest of the ids as
     little-endian int32), round_trip (boolean: decoding gives the text as it was; false where the text
-    holds the marker U+2581 itself; with a plain model told from each fragment's pieces, without decode()) and n_mismatches (long: fragments on which the tokenizers and the
-    sentencepiece library differ; the latter's ids hold there). Null and empty texts have no ids. Neither
+    holds the marker U+2581 itself; with a plain model each distinct fragment is decoded, with any other the whole text) and n_mismatches
+    (long: fragments on which the tokenizers library, whose ids these are, and the sentencepiece library differ). Null and empty texts have no ids. Neither
     start nor end pieces are added, and strings of control pieces are ordinary text. Columns of `df` with these names
     are replaced, other columns and repeated rows stay.
     """

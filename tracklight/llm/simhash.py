@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracklight.llm.common import as_bytes, checkpoint, long, map_columns
+from tracklight.llm.common import as_bytes, checkpoint, join_counted, letting_go, long, map_columns
 from tracklight.llm.components import connected_components, stars
 
 #: Words in a shingle, and bits in which linked fingerprints may differ.
@@ -141,26 +141,43 @@ def link_groups(batches, radius: int):
         yield links(carry)
 
 
-def deal(keyed: DataFrame, tile: int, *columns: str) -> DataFrame:
-    """Rows of (key, columns) dealt to tasks as groups (key, lo, hi), sorted by them, with the side of each row.
+def parts(keyed: DataFrame, tile: int, column: str, weight: str | None = None, most: int = 1) -> DataFrame:
+    """Rows of a table with column key, with the row's part and parts, the number of parts that its group is cut into.
+
+    A part has about `tile` rows at most and, if there is a column `weight`, about `most` of it.
+    """
+    n = F.ceil(F.count("*") / tile)
+    n = F.greatest(n, F.ceil(F.sum(weight) / most)) if weight else n
+    counts = keyed.groupBy("key").agg(F.count("*").alias("_n"), n.cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64(column, F.lit(1)), F.col("parts")).cast("int")
+    return join_counted(keyed, counts, ["key"], "_n").withColumn("part", part)
+
+
+def tiles(keyed: DataFrame, tile: int, *columns: str, weight: str | None = None, most: int = 1) -> DataFrame:
+    """Rows of (key, columns) as groups (key, lo, hi), with the side of each row.
 
-    A group of over `tile` rows is cut into parts by a hash of the first column; each pair of parts is a group of its own.
+    A group that is cut into parts() by a hash of the first column has each pair of parts as a group of its own.
     """
-    many = keyed.groupBy("key").count().where(F.col("count") > tile)
-    many = many.select("key", F.ceil(F.col("count") / tile).cast("int").alias("parts"))
-    dealt = keyed.join(many, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    part = F.pmod(F.xxhash64(columns[0], F.lit(1)), F.col("parts")).cast("int")
-    dealt = dealt.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select(
+    dealt = parts(keyed, tile, columns[0], weight, most).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.select(
         "key",
         F.least("part", "other").alias("lo"),
         F.greatest("part", "other").alias("hi"),
         (F.col("part") > F.col("other")).cast("int").alias("side"),
         *columns,
     )
+
+
+def gather(dealt: DataFrame) -> DataFrame:
+    """The rows of each group (key, lo, hi) in one task, one group after another."""
     return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
 
+def deal(keyed: DataFrame, tile: int, *columns: str) -> DataFrame:
+    """Rows of (key, columns) dealt to tasks as tiles()."""
+    return gather(tiles(keyed, tile, *columns))
+
+
 LINKS = T.StructType([long("a"), long("b")])
 
 
@@ -170,7 +187,7 @@ def near_links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Dat
     All components of the near fingerprints are joined; not every near pair is listed.
     """
     keyed = prints.select("fp", F.explode(keys(radius)).alias("key"))
-    return deal(keyed, tile, "fp").mapInArrow(lambda batches: link_groups(batches, radius), LINKS)
+    return deal(keyed, tile, "fp").mapInArrow(letting_go(lambda batches: link_groups(batches, radius)), LINKS)
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", fp: str = "fp", radius: int = RADIUS) -> DataFrame:
@@ -183,163 +200,17 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", fp: str = "fp", radiu
     from fingerprints(); a null one is linked with nothing and has its own id.
     """
     df = df.drop("component_id")
-    prints = checkpoint(df.where(F.col(fp).isNotNull()).groupBy(F.col(fp).alias("fp")).agg(F.min(doc_id).alias("least_id")))
+    least = [F.min(doc_id).alias("least_id"), F.count("*").alias("_rows")]
+    prints = checkpoint(df.where(F.col(fp).isNotNull()).groupBy(F.col(fp).alias("fp")).agg(*least))
     roots = connected_components(near_links(prints.select("fp"), radius))
     joined = prints.join(roots, prints["fp"] == roots["node"], "left")
-    joined = joined.select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    linked = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    lookup = joined.join(linked, "root").select(F.col("fp").alias("_fp"), "component_id")
-    out = df.join(lookup, F.col(fp) == F.col("_fp"), "left").drop("_fp")
+    joined = checkpoint(joined.select("fp", "least_id", "_rows", F.coalesce("root", "fp").alias("root")))
+    linked = joined.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("_n"))
+    lookup = checkpoint(join_counted(joined, linked, ["root"], "_n").select(F.col("fp").alias("_fp"), "component_id", "_rows"))
+    out = join_counted(df.withColumn("_fp", F.col(fp)), lookup, ["_fp"], "_rows", "left").drop("_fp").select(*df.columns, "component_id")
     return out.withColumn("component_id", F.when(F.col(fp).isNull(), F.col(doc_id)).otherwise(F.col("component_id")))
 
 
 def fingerprint_hex(fp: str = "fp") -> F.Column:
     """16 lower-case hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
-
-
-# Wide fingerprints: a similarity of 0.8 and more, over shingles of five words.
-
-#: Words of 64 bits in a wide fingerprint, words in its shingles, and bits in which linked ones may differ. Sets of shingles of
-#: Jaccard similarity 0.8 have a cosine of 0.89, which is 39 of 256 bits on average, with a deviation of 6.
-WIDE, WIDE_WORDS, WIDE_RADIUS = 4, 5, 42
-#: Samples of bits in which linked fingerprints are looked for together, and bits of each. A pair of similarity 0.8 agrees in
-#: one sample at least with a chance of 0.97, one of 0.9 with 0.9999.
-SAMPLES, SAMPLE_BITS = 48, 16
-SAMPLED = np.stack([np.random.default_rng(k).permutation(64 * WIDE)[:SAMPLE_BITS] for k in range(SAMPLES)])
-WIDE_PIVOTS = np.array([[xxhash.xxh64_intdigest(b"wide pivot %d %d" % (i, w), 42) for w in range(WIDE)] for i in range(8)], dtype=np.uint64)
-
-
-def wide_fingerprint(text: bytes | None) -> list[int]:
-    """The SimHash of a text in 256 bits, as signed words: the hash of each shingle is stretched by a mixer."""
-    parts = text.lower().split() if text else []
-    if not parts:
-        return [0] * WIDE
-    digest = xxhash.xxh64_intdigest
-    if len(parts) <= WIDE_WORDS:
-        hashes = np.array([digest(b" ".join(parts), 42)], np.uint64)
-    else:
-        shingles = zip(*(parts[i:] for i in range(WIDE_WORDS)), strict=False)
-        hashes = np.fromiter((digest(b" ".join(s), 42) for s in shingles), np.uint64, len(parts) - WIDE_WORDS + 1)
-        hashes = np.unique(hashes)  # similarity is that of sets
-    out = []
-    for word in range(WIDE):
-        counts = np.zeros(64, np.int64)
-        for start in range(0, len(hashes), 8192):
-            h = hashes[start : start + 8192] + np.uint64(word * 0x9E3779B97F4A7C15 & 2**64 - 1)
-            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            h ^= h >> np.uint64(31)
-            counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.int64)[0]))
-    return out
-
-
-FPS = [f"fp{w}" for w in range(WIDE)]
-
-
-def wide_fingerprints(df: DataFrame, text: str = "text", drop_text: bool = False) -> DataFrame:
-    """`df` with fp0 to fp3 (long): the wide fingerprint of the whole text; null counts as empty."""
-
-    def make():
-        def run(column):
-            rows = np.array([wide_fingerprint(x) for x in as_bytes(column)], np.int64).reshape(-1, WIDE)
-            return [np.ascontiguousarray(rows[:, w]) for w in range(WIDE)]
-
-        return run
-
-    return map_columns(df, make, [text], list(map(long, FPS)), drop=[text] if drop_text else [])
-
-
-def _matrix(batch: pa.RecordBatch) -> np.ndarray:
-    return np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in FPS], axis=1)
-
-
-def sampled(batches):
-    """A row for each sample of bits of each fingerprint: key (the sample's number above its bits), node, fingerprint."""
-    weights = 1 << np.arange(SAMPLE_BITS, dtype=np.int64)
-    for whole in batches:
-        for start in range(0, whole.num_rows, 2000):
-            batch = whole.slice(start, 2000)
-            fps = np.ascontiguousarray(_matrix(batch))
-            bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little")
-            keys_ = bits[:, SAMPLED].astype(np.int64) @ weights + (np.arange(SAMPLES, dtype=np.int64) << SAMPLE_BITS)
-            columns = [keys_.ravel(), *(np.repeat(x, SAMPLES) for x in (batch.column("node").to_numpy(), *fps.T))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", *FPS])
-
-
-def near_wide(a: np.ndarray, b: np.ndarray, radius: int = WIDE_RADIUS) -> np.ndarray:
-    """The matrix of links between two sets of wide fingerprints: pivots first, the distance itself on what they leave."""
-    table_a, table_b = (np.bitwise_count(x[None] ^ WIDE_PIVOTS[:, None]).sum(axis=2, dtype=np.int16) for x in (a, b))
-    out = np.zeros((len(a), len(b)), bool)
-    for start in range(0, len(a), 256):
-        rows = slice(start, start + 256)
-        maybe = np.abs(table_a[0, rows, None] - table_b[0, None, :]) <= radius
-        for k in range(1, len(WIDE_PIVOTS)):
-            maybe &= np.abs(table_a[k, rows, None] - table_b[k, None, :]) <= radius
-        if maybe.mean() > 0.2:
-            far = sum(np.bitwise_count(a[rows, w, None] ^ b[None, :, w]).astype(np.int16) for w in range(WIDE))
-            out[rows] = maybe & (far <= radius)
-        else:
-            i, j = np.nonzero(maybe)
-            good = np.bitwise_count(a[rows][i] ^ b[j]).sum(axis=1, dtype=np.int16) <= radius
-            out[i[good] + start, j[good]] = True
-    return out
-
-
-def link_wide_groups(batches):
-    """Links within groups that come sorted by (key, lo, hi); those of two rows are compared many at a time."""
-    carry = None
-
-    def links(rows: dict[str, np.ndarray]):
-        bits = np.ascontiguousarray(np.stack([rows[c] for c in FPS], axis=1)).view(np.uint64)
-        node, side = rows["node"], rows["side"]
-        change = np.ones(len(node), bool)
-        change[1:] = False
-        for c in ("key", "lo", "hi"):
-            change[1:] |= rows[c][1:] != rows[c][:-1]
-        starts = np.flatnonzero(change)
-        sizes = np.diff(np.append(starts, len(node)))
-        group, small, tile = np.repeat(np.arange(len(starts)), sizes), np.repeat(sizes < SMALL, sizes), rows["lo"] != rows["hi"]
-        out = [(np.empty(0, np.int64),) * 2]
-        for step in range(1, min(SMALL, len(node))):
-            i = np.flatnonzero((group[step:] == group[:-step]) & small[step:])
-            i = i[~tile[i] | (side[i] != side[i + step])]
-            i = i[np.bitwise_count(bits[i] ^ bits[i + step]).sum(axis=1, dtype=np.int16) <= WIDE_RADIUS]
-            out.append((node[i], node[i + step]))
-        for s, n in zip(starts[sizes >= SMALL], sizes[sizes >= SMALL]):
-            own, name = bits[s : s + n], node[s : s + n]
-            one, two = (side[s : s + n] == x for x in (0, 1)) if tile[s] else (slice(None),) * 2
-            out.append(stars(near_wide(own[one], own[two]), name[one], name[two]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["a", "b"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(batch.schema.names)}
-        if carry is not None:
-            rows = {c: np.concatenate([carry[c], x]) for c, x in rows.items()}
-        whole = np.ones(len(rows["node"]), bool)
-        for c in ("key", "lo", "hi"):
-            whole &= rows[c] == rows[c][-1]
-        cut = len(whole) - int(whole.sum())
-        carry = {c: x[cut:] for c, x in rows.items()}
-        if cut:
-            yield links({c: x[:cut] for c, x in rows.items()})
-    if carry is not None:
-        yield links(carry)
-
-
-def similar_documents(df: DataFrame, row: str, tile: int = TILE) -> DataFrame:
-    """row, group (long) of a table of rows' wide fingerprints: rows whose fingerprints are linked, directly or not, share it.
-
-    Equal fingerprints are made one first; candidates agree in a sample of bits. Every row is in one group; an empty table has none.
-    """
-    prints = checkpoint(df.groupBy(*FPS).agg(F.min(row).alias("node")))
-    fields = T.StructType([long("key"), long("node"), *map(long, FPS)])
-    keyed = prints.select("node", *FPS).mapInArrow(sampled, fields)
-    links = deal(keyed, tile, "node", *FPS).mapInArrow(link_wide_groups, LINKS)
-    roots = connected_components(links).withColumnsRenamed({"node": "_node", "root": "_root"})
-    joined = prints.join(roots, F.col("node") == F.col("_node"), "left")
-    joined = joined.select(*FPS, F.coalesce("_root", "node").alias("group"))
-    return df.join(joined, FPS).select(row, "group")
