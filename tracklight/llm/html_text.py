@@ -19,6 +19,8 @@ from tracklight.llm.common import long, map_columns, string
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math select object canvas".split())
+#: Raw elements whose content, if they aren't ended, is code up to the page's end.
+CODE = frozenset("script style".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -29,22 +31,33 @@ ENDS = {
     "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th"), "option": ("option",), "body": ("head",),
 }
 #: Elements that bound the search for an open element to end.
-SCOPES = frozenset("table ul ol dl article section main body html div td th nav aside header footer form".split())
+SCOPES = frozenset("table ul ol dl article section main html body div td th nav aside header footer form".split())
+#: Elements of a table, which end what is open in a cell; other end tags end nothing outside their cell.
+TABLE = frozenset("table tbody thead tfoot tr td th caption".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that never hold main text.
 DROPPED = frozenset("nav aside footer form button dialog menu head".split())
 #: Parts of class, id and role names that mark what isn't main text, as whole words of the name.
 MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|foot|footer|gdpr|"
+    r"(?:^|[_-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|foot|footer|gdpr|"
     r"header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|pager|popup|promo\w*|related|"
     r"repl(?:y|ies)|respond|share|sharing|shares|sidebar|signup|skip|social|sponsor\w*|subscribe|subscription|tags|toolbar|widget|"
-    r"alert|complementary|contentinfo|search|login|overlay)(?:$|[\s_-])",
+    r"alert|complementary|contentinfo|search|login|overlay)(?:$|[_-])",
     re.I,
 )
-#: Names that mark main text.
+#: Names that mark main text. Of the marks above they outdo the header's alone: an entry's header holds its title.
 MAIN = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|page|post|story|text|hentry)(?:$|[\s_-])", re.I)
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S
-)
+TITLED = re.compile(r"(?:article|content|entry|post|story)[_-]?header", re.I)
+#: Names that say what a container has or lacks, and not what it is.
+ABOUT = re.compile(r"(?:has|with|no|without|hide|show|is|sticky|fixed)[_-]", re.I)
+#: The end of a tag that ends itself; a slash that ends an unquoted value is part of the value.
+CLOSED = re.compile(r"(?:^|[\s\"'])/\Z")
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+COMMENT = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))", re.S)
+#: A tag, whose quotes count after an equals sign only, as in HTML; and one of a page whose quotes don't close.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>")
+LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>?", re.I | re.A) for name in RAW}
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 CLASSES = re.compile(r"""(?:^|\s)(?:class|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 ATTRIBUTE = re.compile(r"""([^\s"'=/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -60,6 +73,8 @@ TEXT_CHARS, TEXT_LINKED = 80, 0.25
 CHARS_A_POINT, MOST_POINTS = 100, 3
 #: Share of a container's characters in links from which a block of it counts as a menu.
 LINKED = 0.5
+#: Mean characters of a link from which a list of links in an article counts as references, and characters of loose text that stays.
+REFERENCE_CHARS, LOOSE_CHARS = 20, 20
 
 
 def hides(attributes: str) -> bool:
@@ -72,7 +87,11 @@ def hides(attributes: str) -> bool:
 
 
 def marked(names: str) -> bool:
-    return bool(names) and bool(MARKED.search(names)) and not MAIN.search(names)
+    """Whether any one of the names marks what isn't main text."""
+    for name in names.split():
+        if MARKED.search(CAMEL.sub("-", name)) and not ABOUT.match(name) and not TITLED.search(name):
+            return True
+    return False
 
 
 class Node:
@@ -106,60 +125,106 @@ def inside(node: Node | None) -> bool:
     return False
 
 
+class Reader:
+    """The open elements of a page as it is read; where the nearest of a name is open is known without a search."""
+
+    def __init__(self) -> None:
+        self.root = Node("html", None)
+        self.stack = [self.root]
+        self.places: dict[str, list[int]] = {"html": [0]}
+
+    def nearest(self, names) -> int:
+        """The place of the innermost open element of these names; -1 if there is none."""
+        return max((at[-1] for x in names if (at := self.places.get(x))), default=-1)
+
+    def cut(self, place: int) -> None:
+        """Ends the element at a place and all in it."""
+        while len(self.stack) > place:
+            self.places[self.stack.pop().name].pop()
+
+    def say(self, text: str) -> None:
+        if text:
+            self.stack[-1].children.append(html.unescape(text))
+
+    def start(self, name: str, attributes: str) -> None:
+        if name in BLOCKS and (p := self.nearest(("p",))) > self.nearest(SCOPES):
+            self.cut(p)
+        if name in HEADINGS and self.stack[-1].name in HEADINGS:
+            self.cut(len(self.stack) - 1)
+        if ends := ENDS.get(name):
+            bounds = SCOPES - set(ends)
+            while (place := self.nearest(ends)) > self.nearest(bounds):
+                self.cut(place)
+                if name not in ("tr", "tbody", "tfoot"):
+                    break
+        if name == "html":
+            return
+        node = Node(name, self.stack[-1], attributes)
+        self.stack[-1].children.append(node)
+        if name in VOID or (CLOSED.search(attributes) and name not in BLOCKS):
+            return
+        self.places.setdefault(name, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def end(self, name: str) -> None:
+        if name == "br":
+            self.stack[-1].children.append(Node("br", self.stack[-1]))
+        if name in ("html", "body"):
+            return
+        place = self.nearest(HEADINGS if name in HEADINGS else (name,))
+        bound = -1 if name == "table" else self.nearest(("table",) if name in TABLE else ("td", "th", "caption", "table"))
+        if place <= max(0, bound):
+            return
+        if name not in BLOCKS and name != "a" and place < self.nearest(BLOCKS):
+            return  # an inline end tag ends no block
+        self.cut(place)
+
+
 def parse(page: str) -> Node:
-    """The tree of a page's elements and texts, character references decoded."""
-    root = node = Node("html", None)
-    at, end = 0, len(page)
-    search = TOKEN.search
+    """The tree of a page's elements and texts, character references decoded. Takes time in proportion to the page."""
+    reader = Reader()
+    at, end, last = 0, len(page), page.rfind(">")
+    tag = TAG
+    unended: set[str] = set()  # raw elements that no end tag follows
     while at < end:
-        found = search(page, at)
-        if found is None:
-            node.children.append(html.unescape(page[at:]))
+        place = page.find("<", at)
+        if place < 0:
+            reader.say(page[at:])
             break
-        if found.start() > at:
-            node.children.append(html.unescape(page[at : found.start()]))
-        at = found.end()
-        name = found[2]
-        if name is None:
+        reader.say(page[at:place])
+        if page.startswith("<!--", place):
+            at = COMMENT.match(page, place).end()
             continue
-        name = name.lower()
-        if found[1]:
-            above: Node | None = node
-            while above is not None and above.name != name:
-                above = None if above.name in ("td", "th") and name in ("p", "span", "b", "i") else above.parent
-            if above is not None and above.parent is not None:
-                node = above.parent
+        mark = page[place + 1 : place + 3]
+        if place > last or not (mark[:1].isascii() and (mark[:1].isalpha() or mark[:1] in ("!", "?", "/") and mark[:1])):
+            if place > last and mark[:1].isalpha():
+                break  # a tag that the page's end cuts off
+            reader.say("<")
+            at = place + 1
             continue
-        if name in RAW:
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = close.end() if close else end
+        found = tag.match(page, place)
+        if found is None and mark[0] not in "!?" and mark.lstrip("/")[:1].isalpha():
+            tag = LOOSE_TAG  # quotes don't close from here on: they are no longer looked at
+            found = tag.match(page, place)
+        if found is None:  # a declaration, or an end tag without a name
+            at = page.find(">", place) + 1
             continue
-        if name in BLOCKS:
-            above = node
-            while above.parent is not None and above.name not in SCOPES:
-                if above.name == "p":
-                    node = above.parent
-                    break
-                above = above.parent
-        if name in ENDS:
-            above = node
-            while above.parent is not None:
-                if above.name in ENDS[name]:
-                    node = above.parent
-                    if name not in ("tr", "tbody", "tfoot"):
-                        break
-                elif above.name in SCOPES:
+        at, name = found.end(), found[2].lower()
+        if found[1]:
+            reader.end(name)
+        elif name in RAW:
+            close = None if name in unended else RAW_ENDS[name].search(page, at)
+            if found[3].endswith("/") and name in ("svg", "math"):
+                continue
+            if close:
+                at = close.end()
+            else:
+                unended.add(name)
+                if name in CODE and not found[3].endswith("/"):
                     break
-                above = above.parent
-        if name == "html":
-            continue
-        new = Node(name, node, found[3])
-        node.children.append(new)
-        if name not in VOID and not found[3].endswith("/"):
-            node = new
-        elif name not in VOID:
-            node = new if name in BLOCKS else node
-    return root
+        else:
+            reader.start(name, found[3])
+    return reader.root
 
 
 def walk(root: Node):
@@ -256,10 +321,62 @@ def blocks(tops: list[Node]) -> list[str]:
 
 
 def menu(node: Node) -> bool:
-    """Whether a part is mostly links: at least three, over half of its characters."""
+    """Whether a part is mostly links: at least three, over half of its characters. In an article, a list of long links is references."""
     if node.link <= LINKED * node.size:
         return False
-    return sum(x.name == "a" for x in walk(node)) >= 3
+    links = [x.size for x in walk(node) if x.name == "a"]
+    if len(links) < 3:
+        return False
+    return not (inside(node) and sum(links) >= REFERENCE_CHARS * len(links))
+
+
+def loose(run: list[Node | str]) -> Node | None:
+    """A block of the text and inline elements beside the best container, if they say something that isn't links."""
+    node = Node("div", None)
+    node.children = run
+    size = sum(len(x.strip()) if isinstance(x, str) else x.size for x in run)
+    link = sum(0 if isinstance(x, str) else x.link for x in run)
+    return node if size >= LOOSE_CHARS and link < LINKED * size else None
+
+
+def beside(best: Node) -> list[Node]:
+    """The best container and those of its siblings that look like it, are text, or are headings of what is kept."""
+    least = max(10.0, best.score * 0.2)
+    kept: list[Node] = []
+    headings: list[Node] = []
+    run: list[Node | str] = []
+
+    def flush() -> None:
+        node = loose(list(run)) if run else None
+        run.clear()
+        if node is not None:
+            kept.extend([*headings, node])
+            headings.clear()
+
+    for x in best.parent.children:
+        if isinstance(x, str) or (x.name not in BLOCKS and not x.dropped):
+            run.append(x)
+            continue
+        flush()
+        if x.dropped or not x.size:
+            continue
+        density = x.link / x.size
+        alike = x.names and x.names == best.names
+        if x.name in HEADINGS:
+            if x.name == "h1":
+                kept.extend([*headings, x])
+                headings.clear()
+            else:
+                headings.append(x)
+            continue
+        good = x is best or (x.score + (best.score * 0.2 if alike else 0) >= least and density < LINKED)
+        good = good or (x.name == "p" and density < 0.25 and x.size > 80)
+        good = good or (x.name in ("ul", "ol", "dl", "table", "pre", "blockquote", "p") and bool(headings) and density < 0.25)
+        if good:
+            kept.extend([*headings, x])
+        headings.clear()
+    flush()
+    return kept
 
 
 def extract(page: str | None) -> str:
@@ -273,18 +390,12 @@ def extract(page: str | None) -> str:
     best = max(nodes, key=lambda x: x.score)  # the first of equals
     if best.parent is None or best.score <= 0:
         return "\n\n".join(blocks([best if best.score > 0 else root]))
-    least = max(10.0, best.score * 0.2)
-    kept: list[Node] = []
-    for x in best.parent.children:
-        if not isinstance(x, Node) or x.dropped:
-            continue
-        density = x.link / x.size if x.size else 1.0
-        alike = x.names and x.names == best.names
-        if x is best or (x.name in BLOCKS and x.score + (best.score * 0.2 if alike else 0) >= least and density < LINKED):
-            kept.append(x)
-        elif x.name in ("p", "h1") and x.size and density < 0.25 and (x.size > 80 or x.name == "h1"):
-            kept.append(x)
-    return "\n\n".join(blocks(kept))
+    above = best
+    while above is not None and above.name != "article":
+        above = above.parent
+    if above is not None and above.link < LINKED * above.size:
+        best = above  # all of an article that holds the best container
+    return "\n\n".join(blocks(beside(best)))
 
 
 def extract_text(df: DataFrame, page: str = "html", drop_page: bool = False) -> DataFrame:
