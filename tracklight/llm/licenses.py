@@ -3,12 +3,13 @@
 Text and templates are normalised alike. Dice can reach the threshold only if the sizes of the two are near and most
 of a template's bigrams are there, so size bounds leave few templates for a text and few windows for a template. A window
 that doesn't start and end with a bigram of the template is worse than the one inside that does, so only
-those are tried, and all of them.
+those are tried, and all of them. A notice of one line is found only with its licence's whole name in it: its
+other words are anybody's.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 
 from pyspark.sql import DataFrame
@@ -122,25 +123,32 @@ def normalize(text: bytes) -> list[bytes]:
 
 
 class Templates:
-    """The templates by size, and those that have each bigram, with how often."""
+    """The templates by size, and those that have each bigram, with how often. `more` are whole texts by licence, scanned for beside TEXTS."""
 
-    def __init__(self) -> None:
-        made: dict[tuple[str, tuple[bytes, ...]], None] = {}
+    def __init__(self, more: dict[str, str] | None = None) -> None:
+        #: Words of each template, with the bigrams that a find of it must have.
+        made: dict[tuple[str, tuple[bytes, ...]], frozenset] = {}
         for spdx, names in NAMED.items():
             for name in names:
                 for notice in NOTICES + DUAL:
                     for the in ("the ", ""):
                         if notice in DUAL and len(name.split()) < (3 if the else 2):
                             continue
-                        text = notice.format(the=the, name=name, spdx=spdx)
-                        made[spdx, tuple(normalize(text.encode()))] = None
-        for spdx, text in TEXTS.items():
-            made[spdx, tuple(normalize(text.encode()))] = None
+                        words = normalize(notice.format(the=the, name=name, spdx=spdx).encode())
+                        own = normalize((spdx if "{spdx}" in notice else name).encode())
+                        first = next(i for i in range(len(words)) if words[i : i + len(own)] == own)
+                        first -= len(own) == 1  # a name of one word stands with the word before it
+                        name_words = words[first : first + max(2, len(own))]
+                        made[spdx, tuple(words)] = frozenset(zip(name_words, name_words[1:]))
+        for spdx, text in [*TEXTS.items(), *(more or {}).items()]:
+            made[spdx, tuple(normalize(text.encode()))] = frozenset()
         for spdx, (name, version) in GNU.items():
             for thing in ("program", "library"):
-                made[spdx, tuple(normalize(HEADER.format(thing=thing, name=name, version=version).encode()))] = None
-        kept = [(len(words) - 1, spdx, Counter(zip(words, words[1:]))) for spdx, words in made]
-        self.templates = sorted(kept, key=lambda t: (t[0], t[1]))
+                made[spdx, tuple(normalize(HEADER.format(thing=thing, name=name, version=version).encode()))] = frozenset()
+        kept = [(len(words) - 1, spdx, Counter(zip(words, words[1:])), must) for (spdx, words), must in made.items() if len(words) > 1]
+        kept.sort(key=lambda t: (t[0], t[1]))
+        self.templates = [t[:3] for t in kept]
+        self.must = [t[3] for t in kept]
         self.sizes = [t[0] for t in self.templates]
         self.having: dict[tuple[bytes, bytes], list[tuple[int, int]]] = {}
         for at, (_, _, bag) in enumerate(self.templates):
@@ -159,7 +167,7 @@ class Templates:
         return found
 
 
-def windows(hits: list, size: int, spdx: str, bag: Counter, threshold: float) -> list[tuple[int, int, str, float]]:
+def windows(hits: list, size: int, spdx: str, bag: Counter, must: frozenset, threshold: float) -> list[tuple[int, int, str, float]]:
     """The finds of one template among the places of its bigrams, overlapping ones included."""
     longest = size * (2 - threshold) / threshold + 1e-9
     out = []
@@ -173,7 +181,7 @@ def windows(hits: list, size: int, spdx: str, bag: Counter, threshold: float) ->
             seen[bigram] += 1
             if seen[bigram] <= bag[bigram]:
                 shared += 1
-                if (dice := 2 * shared / (length + size)) >= threshold:
+                if (dice := 2 * shared / (length + size)) >= threshold and must <= seen.keys():
                     out.append((first, last + 2, spdx, dice))
     return out
 
@@ -194,12 +202,14 @@ def scan(text: bytes | None, templates: Templates, threshold: float = THRESHOLD)
     for at, k in shared.items():
         size, spdx, bag = templates.templates[at]
         if k >= size * threshold / (2 - threshold) - 1e-9:
-            found += windows([h for h in hits if h[1] in bag], size, spdx, bag, threshold)
-    out = []
+            if templates.must[at] <= counts.keys():
+                found += windows([h for h in hits if h[1] in bag], size, spdx, bag, templates.must[at], threshold)
+    out: list[tuple[int, int, str, float]] = []
     for find in sorted(found, key=lambda f: (-f[3], f[0] - f[1], f[0], f[2])):  # of overlapping finds the best stays
-        if all(find[1] <= o[0] or find[0] >= o[1] for o in out):
-            out.append(find)
-    return sorted(out)
+        i = bisect_left(out, find)
+        if (i == 0 or out[i - 1][1] <= find[0]) and (i == len(out) or find[1] <= out[i][0]):
+            insort(out, find)
+    return out
 
 
 FINDS = T.ArrayType(
@@ -207,15 +217,15 @@ FINDS = T.ArrayType(
 )
 
 
-def scan_licenses(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, drop_text: bool = False) -> DataFrame:
+def scan_licenses(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, drop_text: bool = False, more: dict[str, str] | None = None) -> DataFrame:
     """`df` with finds: an array of (first, after, license, dice) over the whole text, in order.
 
-    Null and empty texts, and those without a licence, have an empty array. Repeated rows keep
+    `more` are whole texts by licence that are scanned for too. Null and empty texts, and those without a licence, have an empty array. Repeated rows keep
     theirs; a column of `df` named finds is replaced, others stay.
     """
 
     def make():
-        templates = Templates()
+        templates = Templates(more)
 
         def run(column):
             keys = ("first", "after", "license", "dice")
