@@ -23,7 +23,7 @@ def duck():
 
 
 def plain(x):
-    if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+    if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and x != x):
         return None
     if isinstance(x, float):
         return f"{x:.9g}"

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+
 
 from test_query_language import CTX, make
 from tracklight.operators import capture, imports
@@ -123,3 +125,28 @@ def test_breach_is_told_once(spark, tmp_path):
     query = notices.breach_notices(stream).writeStream.format("memory").queryName("breach").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(180)
     assert [(r.id, r.phase) for r in spark.table("breach").collect()] == [("a", "response")]
+
+
+def test_notes_are_read_back_as_written(spark, tmp_path):
+    rows = [("Cases/P/a b.md", "---\npm-task: true\nid: a\ntitle: A+1\n---\n\nBody é\n"), ("Cases/P/Archive/c.md", "---\npm-task: true\nid: c\nparentId: a\n---\n")]
+    df = spark.createDataFrame(rows, "file_path string, value string")
+    folder = str(tmp_path / "vault")
+    assert vault.write_notes(df, folder) == 2 and vault.write_notes(df, folder) == 2
+    assert (tmp_path / "vault" / "Cases" / "P" / "a b.md").read_text() == rows[0][1]
+    assert sorted(str(p.relative_to(folder)) for p in (tmp_path / "vault").rglob("*") if p.is_file()) == sorted(r[0] for r in rows)
+    back = {r.id: r for r in vault.read_notes(spark, folder).collect()}
+    assert {i: r.file_path for i, r in back.items()} == {"a": rows[0][0], "c": rows[1][0]}
+    assert back["a"].title == "A+1" and back["a"].description == "Body é" and back["c"].archived and back["c"].parent_id == "a"
+    with pytest.raises(Exception, match="leads out"):
+        vault.write_notes(spark.createDataFrame([("../x.md", "")], "file_path string, value string"), folder)
+
+
+def test_subtree_of_a_cycle_and_free_names(spark):
+    from tracklight.operators import capture, tree
+
+    rows = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "b"), ("d", "")], "id string, parent_id string")
+    assert sorted((r.id, r.depth) for r in tree.subtree(rows, "a").collect()) == [("a", 0), ("b", 1), ("c", 2)]
+    taken = lambda names: spark.createDataFrame([(n,) for n in names], "name string")
+    many = ["P (copy)", *(f"P (copy {n})" for n in range(2, 1500))]
+    for names, free in ((many, "P (copy 1500)"), (many[1:], "P (copy)"), (["P (copy)", "P (copy 3)", "P (copy x)", "P (copy 1)"], "P (copy 2)")):
+        assert [r.name for r in capture.free_name(taken(names), "P").collect()] == [free]

@@ -12,14 +12,13 @@ def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-#: Markdown that a preview leaves out: pattern and what takes its place, in order.
+#: Markdown that a preview leaves out, pattern and what takes its place, in order. Underscores and list numbers stay.
 PREVIEW = (
     (r"(?s)```.*?```", " "),
-    (r"!\[[^\]]*\]\([^)]*\)", " "),
-    (r"\[([^\]]*)\]\([^)]*\)", "$1"),
-    (r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]", "$1"),
-    (r"(?m)^\s{0,3}(?:#{1,6}|>|[-*+]|\d+\.)\s+(?:\[[ xX]\]\s+)?", ""),
-    (r"[*_~`]+", ""),
+    (r"`([^`]*)`", "$1"),
+    (r"!?\[([^\]]*)\]\([^)]*\)", "$1"),
+    (r"(?m)^[ \t]*[#>\-*+]+[ \t]+", ""),
+    (r"[*~]", ""),
 )
 
 
@@ -36,23 +35,22 @@ def truncate(text: Column | str, most: int) -> Column:
 
 
 def sanitize_name(title: Column | str, most: int = 60) -> Column:
-    """A title as a file name: marks that file systems mind become dashes, white space one space, up to `most` characters."""
+    """A title as a file name: marks that file systems mind become dashes; of `most` characters the points and spaces at the end go."""
     name = F.regexp_replace(_col(title), r'[\\/:*?"<>|#^\[\]]', "-")
-    name = F.trim(F.substring(F.trim(F.regexp_replace(name, r"\s+", " ")), 1, most))
-    return F.when(name == "", "Untitled").otherwise(name)
+    name = F.regexp_replace(name, r"^\s+|\s+$", "")
+    return F.regexp_replace(F.substring(name, 1, most), r"[. ]+$", "")
 
 
 def slug(text: Column | str) -> Column:
-    """Lower case, anything but letters and digits as single dashes."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(_col(text))), "[^a-z0-9]+", "-"), "^-|-$", "")
+    """Lower case, trimmed, runs of white space as single dashes; all else stays."""
+    return F.regexp_replace(F.regexp_replace(F.lower(_col(text)), r"^\s+|\s+$", ""), r"\s+", "-")
 
 
 def initials(name: Column | str) -> Column:
-    """First letters of the first and last word, in upper case."""
-    words = F.filter(F.split(F.trim(_col(name)), r"\s+"), lambda w: w != "")
-    first = F.substring(F.get(words, F.lit(0)), 1, 1)
-    last = F.when(F.size(words) > 1, F.substring(F.element_at(words, -1), 1, 1)).otherwise("")
-    return F.upper(F.concat(F.coalesce(first, F.lit("")), last))
+    """First letters of the first and second word, or the first two characters where there is one word, in upper case."""
+    words = F.filter(F.split(_col(name), r"\s+"), lambda w: w != "")
+    two = F.concat(F.substring(F.get(words, F.lit(0)), 1, 1), F.substring(F.get(words, F.lit(1)), 1, 1))
+    return F.upper(F.when(F.size(words) >= 2, two).otherwise(F.substring(_col(name), 1, 2)))
 
 
 def link_name(reference: Column | str) -> Column:
@@ -86,7 +84,12 @@ def embedded_in_archive(path: Column | str) -> Column:
 
 
 def task_folder(project_path: Column | str) -> Column:
-    """Where a project's case files are: beside a note that has a folder of its own name, else `NAME_tasks`."""
+    """Where a project's case files are.
+
+    Beside a note in a folder of its own name, `Tasks`; of a note in a folder's `Cases`, that folder's `Tasks` and the note's name; else `NAME_tasks`.
+    """
     path = _col(project_path)
     own = path.rlike(r"^(?:.*/)?([^/]+)/\1\.md$")
-    return F.when(own, F.regexp_replace(path, r"[^/]+\.md$", "Tasks")).otherwise(F.regexp_replace(path, r"\.md$", "_tasks"))
+    shared = r"^(.*)/Cases/([^/]+)\.md$"
+    beside = F.when(path.rlike(shared), F.regexp_replace(path, shared, "$1/Tasks/$2")).otherwise(F.regexp_replace(path, r"\.md$", "_tasks"))
+    return F.when(own, F.regexp_replace(path, r"[^/]+\.md$", "Tasks")).otherwise(beside)

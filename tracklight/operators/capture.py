@@ -216,14 +216,26 @@ def coerce_type(cases: DataFrame) -> DataFrame:
 
 
 def archive(cases: DataFrame, ids: DataFrame, restore: bool = False) -> DataFrame:
-    """Cases (ids has id) moved into their folder's Archive, or out of it; their paths and archived follow."""
+    """Cases (ids has id) moved into their folder's Archive, or out of it; their paths and archived follow.
+
+    A case's own folder, of its file's name, moves with it, and so the files in it do: they stay what they are, at their new paths.
+    """
     moved = cases.join(ids.select(F.col("id").alias("_a")).distinct(), F.col("id") == F.col("_a"), "left")
     path = F.col("file_path")
     inside = F.regexp_replace(path, r"^(.*/)?([^/]+)$", "$1Archive/$2")
-    new = F.regexp_replace(path, r"(^|/)Archive/", "$1") if restore else F.when(path.rlike(r"(^|/)Archive/"), path).otherwise(inside)
+    new = F.regexp_replace(path, r"(^|/)Archive/([^/]+)$", "$1$2") if restore else F.when(path.rlike(r"(^|/)Archive/[^/]+$"), path).otherwise(inside)
     chosen = F.col("_a").isNotNull()
-    out = moved.withColumn("file_path", F.when(chosen, new).otherwise(path))
-    return out.withColumn("archived", F.when(chosen, F.lit(not restore)).otherwise(F.col("archived"))).drop("_a")
+    folder = lambda x: F.regexp_replace(x, r"\.md$", "")
+    folders = moved.where(chosen).select(folder(path).alias("_from"), folder(new).alias("_to")).where("_from <> _to").distinct()
+    parts = F.split(path, "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    above = F.when(F.size(parts) > 1, above).otherwise(F.array().cast("array<string>"))
+    carried = moved.where(~chosen).select("id", F.explode(above).alias("_from")).join(folders, "_from")
+    carried = carried.groupBy(F.col("id").alias("_c")).agg(F.max_by(F.struct("_from", "_to"), F.length("_from")).alias("_with"))
+    out = moved.join(carried, F.col("id") == F.col("_c"), "left")
+    follows = F.concat(F.col("_with._to"), F.substring(path, F.length("_with._from") + 1, F.length(path)))
+    out = out.withColumn("file_path", F.when(chosen, new).when(F.col("_c").isNotNull(), follows).otherwise(path))
+    return out.withColumn("archived", F.when(chosen, F.lit(not restore)).otherwise(F.col("archived"))).drop("_a", "_c", "_with")
 
 
 def dirty(marks: DataFrame) -> DataFrame:
@@ -243,12 +255,18 @@ def prune_settings(settings: DataFrame, paths: DataFrame) -> DataFrame:
     return settings.join(paths, "path", "left_semi")
 
 
-def free_name(taken: DataFrame, name: str, tries: int = 1000) -> DataFrame:
-    """One row, name: the first of `name (copy)`, `name (copy 2)`, ... that isn't taken."""
-    n = F.col("id") + 1
-    candidate = F.when(n == 1, f"{name} (copy)").otherwise(F.concat(F.lit(f"{name} (copy "), n.cast("string"), F.lit(")")))
-    rows = taken.sparkSession.range(tries).select(n.alias("n"), candidate.alias("name"))
-    return rows.join(taken.select("name"), "name", "left_anti").agg(F.min_by("name", "n").alias("name"))
+def free_name(taken: DataFrame, name: str) -> DataFrame:
+    """One row, name: the first of `name (copy)`, `name (copy 2)`, ... that isn't taken, however many are.
+
+    It is the first or follows one that is taken, so only those are looked at.
+    """
+    start = F.length(F.lit(f"{name} (copy"))
+    rest = F.when(F.col("name").startswith(f"{name} (copy"), F.substring("name", start + 1, 30))
+    number = F.when(rest == ")", F.lit(1)).when(rest.rlike(r"^ [1-9]\d{0,17}\)$"), F.regexp_extract(rest, r"\d+", 0).cast("long"))
+    used = taken.select(number.cast("long").alias("n")).where((F.col("n") == 1) | (F.col("n") > 1) & (rest != " 1)")).distinct()
+    first = taken.sparkSession.range(1, 2).select(F.col("id").alias("n"))
+    free = first.union(used.select((F.col("n") + 1).alias("n"))).join(used, "n", "left_anti").agg(F.min("n").alias("n"))
+    return free.select(F.when(F.col("n") == 1, f"{name} (copy)").otherwise(F.concat(F.lit(f"{name} (copy "), F.col("n").cast("string"), F.lit(")"))).alias("name"))
 
 
 #: Templates of new incidents by id, name and columns.

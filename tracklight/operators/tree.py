@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tracklight.functions.sla import sla_sort, sla_state
 from tracklight.model import Context, is_terminal, rank
-from tracklight.operators.common import recursive
+from tracklight.operators.common import checkpoint, recursive
 
 #: Deepest tree that is walked.
 LEVELS = 1000
@@ -81,10 +81,19 @@ def nearest_epic(cases: DataFrame) -> DataFrame:
 
 
 def subtree(cases: DataFrame, *ids: str) -> DataFrame:
-    """id, depth of the cases with these ids and all below them; depth counts from the named case."""
-    wanted = ", ".join("'" + i.replace("\\", "\\\\").replace("'", "\\'") + "'" for i in ids)
-    found = _walk(cases.select("id", "parent_id"), {"depth": DEPTH}, roots=f"c.id IN ({wanted})")
-    return found.groupBy("id").agg(F.min("depth").alias("depth"))
+    """id, depth of the cases with these ids and all below them; depth counts from the nearest named case. A cycle is walked once.
+
+    A level is a join; what has been seen isn't walked again.
+    """
+    links = cases.select("id", "parent_id")
+    seen = level = checkpoint(links.where(F.col("id").isin(*ids)).select("id", F.lit(0).alias("depth")).distinct())
+    depth = 0
+    while not level.isEmpty():
+        depth += 1
+        below = links.join(level.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("id").distinct()
+        level = checkpoint(below.join(seen, "id", "left_anti").select("id", F.lit(depth).alias("depth")))
+        seen = seen.union(level)
+    return seen
 
 
 def parent_candidates(cases: DataFrame, *ids: str) -> DataFrame:
@@ -195,21 +204,25 @@ def reorder(cases: DataFrame, case_id: str, before_id: str) -> DataFrame:
 
 
 def clone(cases: DataFrame, case_id: str, new_id, now: str) -> DataFrame:
-    """The copy of a subtree: new ids by `new_id` (a column function of the old), no key, activity, verdict or lifecycle.
+    """The copy of a subtree: new ids by `new_id` (a column function of the old), open, with no file, key, activity, comments, verdict or lifecycle.
 
-    Parents and dependencies within the subtree point to the copies, other dependencies stay.
+    Parents and dependencies within the subtree point to the copies, other dependencies and the day of completion stay.
     """
     inside = subtree(cases, case_id).select("id")
-    copied = cases.join(inside, "id", "left_semi")
-    known = inside.agg(F.collect_set("id").alias("_ids"))  # one subtree, as its copy is one request
-    out = copied.crossJoin(F.broadcast(known))
-    swap = lambda x: F.when(F.array_contains("_ids", x), new_id(x)).otherwise(x)
-    out = out.withColumn("dependencies", F.transform("dependencies", swap))
-    out = out.withColumn("parent_id", swap(F.col("parent_id"))).withColumn("id", new_id(F.col("id")))
-    blank = {c: F.lit("") for c in ("key", "verdict", "detected_at", "responded_at", "contained_at", "resolved_at", "completed") if c in cases.columns}
-    blank |= {c: F.lit(now) for c in ("created_at", "updated_at") if c in cases.columns}
-    blank |= {"activity": F.expr("slice(activity, 1, 0)")} if "activity" in cases.columns else {}
-    return out.withColumns(blank).select(cases.columns)
+    out = cases.join(inside, "id", "left_semi")
+    inner = lambda name: F.broadcast(inside.select(F.col("id").alias(name)))  # noqa: E731  # one subtree, as its copy is one request
+    if "dependencies" in cases.columns:
+        each = out.select("id", F.posexplode("dependencies").alias("_at", "_d")).join(inner("_in"), F.col("_d") == F.col("_in"), "left")
+        each = each.withColumn("_d", F.when(F.col("_in").isNotNull(), new_id(F.col("_d"))).otherwise(F.col("_d")))
+        lists = each.groupBy(F.col("id").alias("_id")).agg(F.array_sort(F.collect_list(F.struct("_at", "_d"))).getField("_d").alias("_deps"))
+        out = out.join(lists, F.col("id") == F.col("_id"), "left").withColumn("dependencies", F.coalesce("_deps", "dependencies"))
+    out = out.join(inner("_up"), F.col("parent_id") == F.col("_up"), "left")
+    out = out.withColumn("parent_id", F.when(F.col("_up").isNotNull(), new_id(F.col("parent_id"))).otherwise(F.col("parent_id")))
+    out = out.withColumn("id", new_id(F.col("id")))
+    blank = {c: F.lit("") for c in ("key", "verdict", "detected_at", "responded_at", "contained_at", "resolved_at", "file_path")}
+    blank |= {"created_at": F.lit(now), "updated_at": F.lit(now), "collapsed": F.lit(False)}
+    blank |= {c: F.expr(f"slice({c}, 1, 0)") for c in ("activity", "comments")}
+    return out.withColumns({c: x for c, x in blank.items() if c in cases.columns}).select(cases.columns)
 
 
 def is_nested_card(order: list[str]) -> Column:

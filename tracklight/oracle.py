@@ -320,7 +320,8 @@ ORACLE_SQL: dict[str, str] = {
     "tree_clone": _sql(
         """, w2 AS (SELECT id FROM cases WHERE id = '9' UNION SELECT c.id FROM w2 w JOIN cases c ON c.parent_id = w.id)
         SELECT 'c' || id AS id, CASE WHEN parent_id IN (SELECT id FROM w2) THEN 'c' || parent_id ELSE parent_id END AS parent_id, '' AS key, '' AS verdict,
-        coalesce(CASE WHEN dependencies[1] IN (SELECT id FROM w2) THEN 'c' || dependencies[1] ELSE dependencies[1] END, '') AS deps
+        coalesce(CASE WHEN dependencies[1] IN (SELECT id FROM w2) THEN 'c' || dependencies[1] ELSE dependencies[1] END, '') AS deps,
+        false AS collapsed, completed, '' AS file_path
         FROM cases WHERE id IN (SELECT id FROM w2)"""
     ),
     "nested_cards": _sql(
@@ -535,7 +536,9 @@ SELECT n AS event_id, o[1] AS verdict, o[2] AS summary FROM x""",
         array_to_string(CASE WHEN k % 6 = 2 THEN list_append(tags, 'bulk') ELSE tags END, ',') AS tags FROM cases"""
     ),
     "archive_move": _sql(
-        """SELECT id, 'Cases/' || project_id || '_tasks/' || CASE WHEN k % 9 = 4 THEN 'Archive/' ELSE '' END || id || '.md' AS file_path, archived OR k % 9 = 4 AS archived FROM cases"""
+        """SELECT c.id, 'Cases/' || c.project_id || '_tasks/' || CASE WHEN c.k % 9 = 4 OR (c.k % 9 = 5 AND p.id IS NOT NULL) THEN 'Archive/' ELSE '' END
+          || CASE WHEN c.k % 9 = 5 THEN (c.k - 1) || '/sub/' ELSE '' END || c.id || '.md' AS file_path, c.archived OR c.k % 9 = 4 AS archived
+        FROM cases c LEFT JOIN cases p ON p.id = CAST(c.k - 1 AS VARCHAR) AND p.project_id = c.project_id"""
     ),
     "dirty_merge": "SELECT CAST(user_id AS VARCHAR) AS id, CASE WHEN bool_or(event_type = 'signup') THEN 'full' ELSE 'fm' END AS kind FROM events GROUP BY 1",
     "recents": _sql(
@@ -567,20 +570,25 @@ SELECT n AS event_id, o[1] AS verdict, o[2] AS summary FROM x""",
     "label_lookup": _sql(
         """SELECT id, slabel AS status_label, CAST(pos AS BIGINT) AS status_rank, upper(priority[1]) || priority[2:] AS priority_label, term AS terminal FROM cases JOIN statuses ON sid = status"""
     ),
-    "comment_preview": r"""SELECT conv_id, turn, substr(trim(regexp_replace(regexp_replace(role || ' ' || text || ' x a', '[*_~`]+', '', 'g'), '\s+', ' ', 'g')), 1, 240) AS preview FROM conversations""",
+    "comment_preview": r"""
+WITH x AS (SELECT conv_id, turn, '## ' || role || chr(10) || '**' || text || '** `x` ![a](b) snake_case' || chr(10) || '1. one' AS t FROM conversations),
+y AS (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(t, '(?s)```.*?```', ' ', 'g'), '`([^`]*)`', '\1', 'g'), '!?\[([^\]]*)\]\([^)]*\)', '\1', 'g') AS t FROM x)
+SELECT conv_id, turn, substr(trim(regexp_replace(regexp_replace(regexp_replace(t, '(?m)^[ \t]*[#>\-*+]+[ \t]+', '', 'g'), '[*~]', '', 'g'), '\s+', ' ', 'g')), 1, 240) AS preview FROM y""",
     "name_functions": r"""
 WITH x AS (SELECT *, p_name || ': "' || p_type || '"/' || p_brand AS t FROM part),
-y AS (SELECT *, trim(substr(trim(regexp_replace(regexp_replace(t, '[\\/:*?"<>|#^\[\]]', '-', 'g'), '\s+', ' ', 'g')), 1, 60)) AS fn, string_split_regex(trim(p_name), '\s+') AS w FROM x)
-SELECT p_partkey, regexp_replace(regexp_replace(lower(t), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug,
-  upper(w[1][1] || CASE WHEN len(w) > 1 THEN w[-1][1] ELSE '' END) AS initials,
+y AS (SELECT *, regexp_replace(substr(trim(regexp_replace(t, '[\\/:*?"<>|#^\[\]]', '-', 'g')), 1, 60), '[. ]+$', '') AS fn, string_split_regex(trim(p_name), '\s+') AS w FROM x)
+SELECT p_partkey, regexp_replace(lower(trim(t)), '\s+', '-', 'g') AS slug,
+  upper(CASE WHEN len(w) > 1 THEN w[1][1] || w[2][1] ELSE substr(p_name, 1, 2) END) AS initials,
+  upper(CASE WHEN len(string_split_regex(trim(p_brand), '\s+')) > 1 THEN NULL ELSE substr(p_brand, 1, 2) END) AS brand_initials,
   CASE WHEN length(t) > 20 THEN substr(t, 1, 19) || '…' ELSE t END AS short, fn AS file_name FROM y""",
-    "project_path_layout": "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name || '/Tasks' ELSE 'Cases/' || n_name || '_tasks' END AS folder FROM nation",
+    "project_path_layout": "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN n_name || '/Tasks' WHEN 1 THEN 'root/Tasks/' || n_name ELSE 'Cases/' || n_name || '_tasks' END AS folder FROM nation",
     "flagship": _sql(
         """SELECT CASE WHEN severity = '' THEN 'none' ELSE severity END AS severity, CAST(0 AS BIGINT) AS met, count(*) FILTER (done) AS breached, CAST(0 AS BIGINT) AS no_data,
         count(*) FILTER (NOT done) AS "open" FROM cases JOIN sla USING (id) WHERE NOT archived AND severity IN ('sev1', 'sev2') AND breached GROUP BY 1"""
     ),
     "yaml_round_trip": _sql(
-        r"""SELECT id, key, title, type, status, severity, verdict, due, progress, parent_id, archived, CASE WHEN time_estimate > 0 THEN time_estimate END AS time_estimate,
+        r"""SELECT id, row_number() OVER (PARTITION BY project_id, parent_id ORDER BY CASE WHEN parent_id = '' THEN 0 ELSE ord END, created_at, id) - 1 AS ord,
+        key, title, type, status, severity, verdict, due, progress, parent_id, archived, CASE WHEN time_estimate > 0 THEN time_estimate END AS time_estimate,
         array_to_string(tags, ',') AS tags, array_to_string(dependencies, ',') AS deps, iocs[2] AS second_ioc, 'seen' || chr(10) || 'by ' || id AS comment,
         'Line "one"' || chr(10) || 'and \\ two of ' || title AS description, project_id AS site FROM cases"""
     ),

@@ -318,8 +318,9 @@ def tree_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("tree_clone")
 def tree_clone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    copy = tree.clone(cases(spark, sf_dir), "9", lambda x: F.concat(F.lit("c"), x), NOW_TEXT)
-    return copy.select("id", "parent_id", "key", "verdict", F.array_join("dependencies", ",").alias("deps"))
+    rows = cases(spark, sf_dir).withColumns({"file_path": F.concat(F.lit("Cases/"), "id"), "collapsed": F.lit(True)})
+    copy = tree.clone(rows, "9", lambda x: F.concat(F.lit("c"), x), NOW_TEXT)
+    return copy.select("id", "parent_id", "key", "verdict", F.array_join("dependencies", ",").alias("deps"), "collapsed", "completed", "file_path")
 
 
 @query("nested_cards")
@@ -564,7 +565,9 @@ def bulk_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("archive_move")
 def archive_move(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cases(spark, sf_dir).withColumn("file_path", F.concat(F.lit("Cases/"), "project_id", F.lit("_tasks/"), "id", F.lit(".md")))
+    own = F.concat(F.lit("Cases/"), "project_id", F.lit("_tasks/"), "id", F.lit(".md"))
+    nested = F.concat(F.lit("Cases/"), "project_id", F.lit("_tasks/"), (F.col("k") - 1).cast("string"), F.lit("/sub/"), "id", F.lit(".md"))
+    rows = cases(spark, sf_dir).withColumn("file_path", F.when(F.col("k") % 9 == 5, nested).otherwise(own))
     return capture.archive(rows, rows.where("k % 9 = 4").select("id")).select("id", "file_path", "archived")
 
 
@@ -651,20 +654,21 @@ def label_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("comment_preview")
 def comment_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
-    return rows.select("conv_id", "turn", text.preview(F.concat(F.lit("## "), "role", F.lit("\n**"), F.col("text"), F.lit("** `x` [a](b)"))).alias("preview"))
+    return rows.select("conv_id", "turn", text.preview(F.concat(F.lit("## "), "role", F.lit("\n**"), F.col("text"), F.lit("** `x` ![a](b) snake_case\n1. one"))).alias("preview"))
 
 
 @query("name_functions")
 def name_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.concat("p_name", F.lit(': "'), "p_type", F.lit('"/'), "p_brand")
     return table(spark, sf_dir, "part").select(
-        "p_partkey", text.slug(title).alias("slug"), text.initials("p_name").alias("initials"), text.truncate(title, 20).alias("short"), text.sanitize_name(title).alias("file_name")
+        "p_partkey", text.slug(title).alias("slug"), text.initials("p_name").alias("initials"), text.initials("p_brand").alias("brand_initials"), text.truncate(title, 20).alias("short"), text.sanitize_name(title).alias("file_name")
     )
 
 
 @query("project_path_layout")
 def project_path_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.when(F.col("n_nationkey") % 2 == 0, F.concat("n_name", F.lit("/"), "n_name", F.lit(".md"))).otherwise(F.concat(F.lit("Cases/"), "n_name", F.lit(".md")))
+    path = F.when(F.col("n_nationkey") % 3 == 0, F.concat("n_name", F.lit("/"), "n_name", F.lit(".md")))
+    path = path.when(F.col("n_nationkey") % 3 == 1, F.concat(F.lit("root/Cases/"), "n_name", F.lit(".md"))).otherwise(F.concat(F.lit("Cases/"), "n_name", F.lit(".md")))
     return table(spark, sf_dir, "nation").select("n_nationkey", text.task_folder(path).alias("folder"))
 
 
@@ -687,7 +691,7 @@ def yaml_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = vault.render_notes(rows).withColumnRenamed("file_path", "path")
     back = vault.assemble(vault.parse_notes(notes))
     return back.select(
-        "id", "key", "title", "type", "status", "severity", "verdict", "due", "progress", "parent_id", "archived", "time_estimate",
+        "id", F.col("ord").cast("long").alias("ord"), "key", "title", "type", "status", "severity", "verdict", "due", "progress", "parent_id", "archived", "time_estimate",
         F.array_join("tags", ",").alias("tags"), F.array_join("dependencies", ",").alias("deps"), F.col("iocs")[1]["value"].alias("second_ioc"),
         F.col("comments")[0]["text"].alias("comment"), "description", F.element_at("custom_fields", "site").alias("site"),
     )
