@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from tracklight.llm.common import checkpoint, join_counted
 
 
+#: Links that a task reads at least; few links over many partitions would leave a file for each pair of tasks.
+TASK_LINKS = 500_000
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root (long) for every node of the links: root is the smallest node that can be reached.
 
@@ -25,9 +29,10 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if mark[0] == 0 or mark == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v")).distinct()
         seen = mark
+        edges = edges.coalesce(mark[0] // TASK_LINKS + 1)
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = smallest(both, F.least("u", F.min("v")), 2 * mark[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = checkpoint(large)
+        large = checkpoint(large).coalesce(2 * mark[0] // TASK_LINKS + 1)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         edges = smallest(large, F.min("v"), 2 * mark[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).distinct()
 
