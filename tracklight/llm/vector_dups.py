@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracklight.llm.common import checkpoint, long
+from tracklight.llm.common import checkpoint, join_counted, letting_go, long
 from tracklight.llm.components import connected_components, stars
 
 THRESHOLD = 0.93
@@ -83,14 +83,15 @@ def near(a: np.ndarray, b: np.ndarray, rotation: np.ndarray, threshold: float) -
     ua, ub = unit(a), unit(b)
     ra, rb = ua @ rotation, ub @ rotation
     dim = a.shape[1]
+    edges = range(0, dim, LEAD)
+    rests = [np.stack([np.sqrt((x[:, lead + LEAD :] ** 2).sum(axis=1)) for lead in edges]) for x in (ra, rb)]  # norms of what is left
     out = np.zeros((len(a), len(b)), bool)
     for start in range(0, len(a), ROWS):
         rows = slice(start, start + ROWS)
         total, alive = 0.0, None
-        for lead in range(0, dim, LEAD):
+        for step, lead in enumerate(edges):
             total = total + ra[rows, lead : lead + LEAD] @ rb[:, lead : lead + LEAD].T
-            rest = [np.sqrt((x[:, lead + LEAD :] ** 2).sum(axis=1)) for x in (ra[rows], rb)]
-            alive = total + rest[0][:, None] * rest[1][None, :] >= threshold - SLACK
+            alive = total + rests[0][step, rows][:, None] * rests[1][step][None, :] >= threshold - SLACK
             if alive.mean() < 0.02:
                 break
         i, j = np.nonzero(alive)
@@ -169,7 +170,7 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = T
     classes = checkpoint(classes)  # from here on the numbers hold
     rotations = classes.sparkSession.sparkContext.broadcast(axes(classes))
     parts = classes.groupBy("label", "dim").count().withColumn("parts", F.ceil(F.col("count") / tile).cast("int"))
-    dealt = classes.join(parts.drop("count"), ["label", "dim"])
+    dealt = join_counted(classes, parts, ["label", "dim"], "count")
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("cid"), "parts").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "label",
@@ -182,21 +183,19 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = T
         "embedding",
     )
     dealt = dealt.repartition("label", "dim", "lo", "hi").sortWithinPartitions("label", "dim", "lo", "hi")
-    found = checkpoint(dealt.mapInArrow(lambda batches: compare_tiles(batches, rotations.value, threshold), RESULT))
+    found = checkpoint(dealt.mapInArrow(letting_go(lambda batches: compare_tiles(batches, rotations.value, threshold)), RESULT))
     weights = found.where("b is null").groupBy(F.col("a").alias("_w")).agg(F.sum("weight").alias("weight"))
     roots = connected_components(found.where("b is not null"))
     classes = classes.join(roots, F.col("cid") == F.col("node"), "left").join(weights, F.col("cid") == F.col("_w"), "left")
     classes = checkpoint(
         classes.select(
-            "label", "embedding", "least_id", F.coalesce("root", "cid").alias("root"),
+            "label", "embedding", "n", "least_id", F.coalesce("root", "cid").alias("root"),
             (F.col("n") - 1 + F.coalesce("weight", F.lit(0))).alias("n_links"),
         )
     )
-    least = classes.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = classes.join(least, "root").select(
-        F.col("label").alias("_l"), F.col("embedding").alias("_e"), "n_links", "component_id"
-    )
-    linked = good.join(classes, (F.col("label") == F.col("_l")) & (F.col("embedding") == F.col("_e")))
+    least = classes.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("_n"))
+    lookup = join_counted(classes, least, ["root"], "_n").select("label", "embedding", "n", "n_links", "component_id")
+    linked = join_counted(good, checkpoint(lookup), ["label", "embedding"], "n")
     alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = linked.select("vec_id", "n_links", "component_id").union(alone)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
