@@ -225,6 +225,18 @@ def clone(cases: DataFrame, case_id: str, new_id, now: str) -> DataFrame:
     return out.withColumns({c: x for c, x in blank.items() if c in cases.columns}).select(cases.columns)
 
 
+def overlay_collapsed(cases: DataFrame, states: DataFrame) -> DataFrame:
+    """`cases` with collapsed as the states say: project_id, ids (the collapsed cases), a row at most for a project.
+
+    In a project that has a row, all cases it doesn't name are open; in any other, collapsed stays.
+    """
+    recorded = states.select("project_id", F.lit(True).alias("_recorded"))
+    shut = states.select("project_id", F.explode("ids").alias("id"), F.lit(True).alias("_shut")).distinct()
+    out = cases.join(recorded, "project_id", "left").join(shut, ["project_id", "id"], "left")
+    out = out.withColumn("collapsed", F.when(F.col("_recorded"), F.coalesce("_shut", F.lit(False))).otherwise(F.col("collapsed")))
+    return out.select(cases.columns)
+
+
 def is_nested_card(order: list[str]) -> Column:
     """Whether the card above in the same lane and status is the case's parent or a subtask of the same parent."""
     w = Window.partitionBy("lane", "status").orderBy(*order)

@@ -324,6 +324,11 @@ ORACLE_SQL: dict[str, str] = {
         false AS collapsed, completed, '' AS file_path
         FROM cases WHERE id IN (SELECT id FROM w2)"""
     ),
+    "collapsed_overlay": _sql(
+        "SELECT id, CASE WHEN ascii(right(project_id, 1)) % 2 = 0 THEN k % 5 = 1 ELSE collapsed END AS collapsed FROM cases"
+    ),
+    "link_targets": """SELECT p_partkey, 'Notes/' || p_name AS target, CASE WHEN p_partkey % 2 = 0 THEN 'shown' ELSE p_name END AS shown FROM part""",
+    "prune_settings": "SELECT n_name AS path, n_nationkey FROM nation WHERE n_nationkey % 4 <> 1",
     "nested_cards": _sql(
         """, u AS (SELECT c.*, lag(c.id) OVER w AS pid, lag(c.parent_id) OVER w AS pp, lag(c.type) OVER w AS pt
           FROM cases c JOIN walk USING (id) WINDOW w AS (PARTITION BY status ORDER BY path))

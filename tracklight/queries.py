@@ -323,6 +323,26 @@ def tree_clone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copy.select("id", "parent_id", "key", "verdict", F.array_join("dependencies", ",").alias("deps"), "collapsed", "completed", "file_path")
 
 
+@query("collapsed_overlay")
+def collapsed_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cases(spark, sf_dir)
+    recorded = rows.where(F.ascii(F.right("project_id", F.lit(1))) % 2 == 0)
+    states = recorded.groupBy("project_id").agg(F.collect_list(F.when(F.col("k") % 5 == 1, F.col("id"))).alias("ids"))
+    return tree.overlay_collapsed(rows, states).select("id", "collapsed")
+
+
+@query("link_targets")
+def link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    link = F.concat(F.lit("[[Notes/"), "p_name", F.when(F.col("p_partkey") % 2 == 0, "#part|shown").otherwise(""), F.lit("]]"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.link_target(link).alias("target"), text.link_name(link).alias("shown"))
+
+
+@query("prune_settings")
+def prune_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = table(spark, sf_dir, "nation").select(F.col("n_name").alias("path"), "n_nationkey")
+    return capture.prune_settings(kept, kept.where("n_nationkey % 4 <> 1").select("path"))
+
+
 @query("nested_cards")
 def nested_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cases(spark, sf_dir).withColumn("lane", F.lit("all"))
