@@ -16,15 +16,17 @@ def recurrence(rule: Column) -> Column:
     return F.when(frequency != "", F.struct(F.lower(frequency).alias("interval"), every.alias("every")))
 
 
-def map_records(records: DataFrame, task_tag: str, archive_tag: str, status: str = "todo", priority: str = "medium") -> DataFrame:
+def map_records(records: DataFrame, task_tag: str, archive_tag: str, status: str = "todo", priority: str = "medium", now: str = "") -> DataFrame:
     """Cases of records: path, title, status, priority, scheduled, due, completed, time_estimate (minutes), tags, recurrence, archived.
 
-    Dates are cut to days, the marking tags go, minutes become hours of two places.
+    Dates are cut to days, the marking tags go, minutes become hours of two places. Columns created and modified, where there are any,
+    are the case's instants; a record without one has `now`.
     """
     day = lambda c: F.substring(F.coalesce(c, F.lit("")), 1, 10)
     name = F.regexp_replace(F.regexp_replace("path", r"^.*/", ""), r"\.md$", "")
     some = lambda c, other: F.when(F.coalesce(c, F.lit("")) != "", F.col(c)).otherwise(other)
     none = F.expr("slice(array(''), 1, 0)")
+    instant = lambda c: some(c, F.lit(now)) if c in records.columns else F.lit(now)
     return records.select(
         "path",
         some("title", name).alias("title"),
@@ -37,6 +39,8 @@ def map_records(records: DataFrame, task_tag: str, archive_tag: str, status: str
         recurrence(F.col("recurrence")).alias("recurrence"),
         F.when(F.col("time_estimate") > 0, F.round(F.col("time_estimate") / 60, 2)).alias("time_estimate"),
         F.coalesce("archived", F.lit(False)).alias("archived"),
+        instant("created").alias("created_at"),
+        instant("modified").alias("updated_at"),
     )
 
 

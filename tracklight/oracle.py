@@ -564,7 +564,9 @@ SELECT n AS event_id, o[1] AS verdict, o[2] AS summary FROM x""",
     "import_map": """SELECT 'Notes/' || p_name || '.md' AS path, p_name AS title, CASE WHEN p_partkey % 4 = 0 THEN 'done' ELSE 'todo' END AS status, 'medium' AS priority,
       '2001-08-01' AS start, CASE WHEN p_partkey % 2 = 0 THEN '2001-08-09' ELSE '' END AS due, 't' || (p_partkey % 5) AS tags,
       CASE p_partkey % 5 WHEN 0 THEN 'weekly' WHEN 1 THEN 'daily' END AS interval, CAST(CASE p_partkey % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 END AS INT) AS every,
-      CASE WHEN p_partkey % 400 > 0 THEN round(CAST(p_partkey % 400 AS DOUBLE) / 60, 2) END AS time_estimate, p_partkey % 6 = 0 AS archived FROM part""",
+      CASE WHEN p_partkey % 400 > 0 THEN round(CAST(p_partkey % 400 AS DOUBLE) / 60, 2) END AS time_estimate, p_partkey % 6 = 0 AS archived,
+      CASE WHEN p_partkey % 7 = 0 THEN '2001-07-01T08:00:00Z' ELSE '2001-08-02T12:00:00Z' END AS created_at,
+      CASE WHEN p_partkey % 7 = 1 THEN '2001-07-02T08:00:00Z' ELSE '2001-08-02T12:00:00Z' END AS updated_at FROM part""",
     "notifier_due": _sql(
         f"SELECT id, due_d, CASE WHEN due_d < {_DUE} THEN 'overdue' ELSE 'soon' END AS kind FROM cases WHERE {_OPEN} AND due_d <= {_DUE} + 2"
     ),

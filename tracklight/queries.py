@@ -641,9 +641,11 @@ def import_map(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.lit("task"), F.lit("archived"), F.concat(F.lit("t"), (n % 5).cast("string"))).alias("tags"),
         F.when(n % 5 == 0, "FREQ=WEEKLY;INTERVAL=2").when(n % 5 == 1, "FREQ=DAILY").otherwise("RRULE:X").alias("recurrence"),
         (n % 6 == 0).alias("archived"),
+        F.when(n % 7 == 0, "2001-07-01T08:00:00Z").alias("created"),
+        F.when(n % 7 == 1, "2001-07-02T08:00:00Z").when(n % 7 == 2, "").alias("modified"),
     )
-    out = imports.map_records(records, "task", "archived")
-    return out.select("path", "title", "status", "priority", "start", "due", F.array_join("tags", ",").alias("tags"), "recurrence.interval", "recurrence.every", "time_estimate", "archived")
+    out = imports.map_records(records, "task", "archived", now=NOW_TEXT)
+    return out.select("path", "title", "status", "priority", "start", "due", F.array_join("tags", ",").alias("tags"), "recurrence.interval", "recurrence.every", "time_estimate", "archived", "created_at", "updated_at")
 
 
 @query("notifier_due")
