@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklight.model import Context, is_terminal
+from tracklight.operators.common import numbered
 
 #: Fields whose changes are logged, in the order of the entries.
 LOGGED = ("status", "severity", "priority", "verdict", "assignees", "due", "bucket")
@@ -26,11 +27,8 @@ def _flat(value: Column, is_list: bool) -> Column:
     return F.array_join(value, ", ") if is_list else value.cast("string")
 
 
-def activity_diff(cases: DataFrame, patches: DataFrame, at: str) -> DataFrame:
-    """id, at, field, from, to: an entry for each logged field that a patch changes, and for each indicator it adds or removes.
-
-    Lists are compared as joined text. Indicators are known by their value alone.
-    """
+def _entries(cases: DataFrame, patches: DataFrame) -> Column:
+    """array of struct(field, from, to) of a joined row of a case (o) and its patch (p)."""
     types = dict(cases.dtypes)
     parts = []
     for field in (f for f in LOGGED if f in patches.columns):
@@ -46,64 +44,75 @@ def activity_diff(cases: DataFrame, patches: DataFrame, at: str) -> DataFrame:
         parts.append(F.transform(F.array_except(values["p"], values["o"]), added))
         parts.append(F.transform(F.array_except(values["o"], values["p"]), removed))
     empty = F.expr("slice(array(named_struct('field', '', 'from', '', 'to', '')), 1, 0)")
-    entries = F.concat(*(F.coalesce(p, empty) for p in parts)) if parts else empty
-    rows = _old_new(cases, patches).select("o.id", F.posexplode(entries).alias("pos", "e"))
-    return rows.select("id", "pos", F.lit(at).alias("at"), "e.field", "e.from", "e.to")
+    return F.concat(*(F.coalesce(p, empty) for p in parts)) if parts else empty
 
 
-def completion_stamp(cases: DataFrame, patches: DataFrame, ctx: Context) -> DataFrame:
-    """id, completed: today's date where a patch ends a case, '' where it opens it again; other cases aren't listed.
+def activity_diff(cases: DataFrame, patches: DataFrame, at: str) -> DataFrame:
+    """id, at, field, from, to: an entry for each logged field that a patch changes, and for each indicator it adds or removes.
 
-    A patch that brings another date of completion keeps it.
+    Lists are compared as joined text. Indicators are known by their value alone.
     """
-    rows = _old_new(cases, patches).where(F.col("p.status").isNotNull())
+    rows = _old_new(cases, patches).select("o.id", F.posexplode(_entries(cases, patches)).alias("pos", "e"))
+    return rows.select("id", "pos", F.lit(at).alias("at"), "e.field", "e.from", "e.to")
+
+
+def _completion(patches: DataFrame, ctx: Context) -> Column:
+    """What a joined row's patch makes of the day of completion; null where it stamps nothing."""
+    counts = F.col("p.status").isNotNull()
     if "completed" in patches.columns:
-        rows = rows.where(F.col("p.completed").isNull() | F.col("p.completed").eqNullSafe(F.col("o.completed")))
+        counts &= F.col("p.completed").isNull() | F.col("p.completed").eqNullSafe(F.col("o.completed"))
     was, now = is_terminal(ctx, F.col("o.status")), is_terminal(ctx, F.col("p.status"))
-    stamp = F.when(now & ~was, ctx.today).when(was & ~now, "")
-    return rows.select("o.id", stamp.alias("completed")).where("completed is not null")
+    return F.when(counts & now & ~was, ctx.today).when(counts & was & ~now, "")
 
 
-def lifecycle_stamp(cases: DataFrame, patches: DataFrame, ctx: Context, at: str) -> DataFrame:
-    """id, responded_at, resolved_at: what a change of an incident's status stamps; null where nothing is stamped.
+def completion_stamp(cases: DataFrame, patches: DataFrame, ctx: Context) -> DataFrame:
+    """id, completed: today's date where a patch ends a case, '' where it opens it again; other cases aren't listed.
 
-    The first change is the response, one to a terminal status the resolution. A patch's own instant wins.
+    A patch that brings another date of completion keeps it.
     """
-    rows = _old_new(cases, patches)
+    return _old_new(cases, patches).select("o.id", _completion(patches, ctx).alias("completed")).where("completed is not null")
+
+
+def _lifecycle(patches: DataFrame, ctx: Context, at: str) -> dict[str, Column]:
+    """What a joined row's patch stamps as responded_at and resolved_at; null where nothing."""
     issue_type = F.col("o.issue_type")
     if "issue_type" in patches.columns:
         issue_type = F.coalesce("p.issue_type", "o.issue_type")
-    rows = rows.where((issue_type == "incident") & (F.col("p.status") != F.col("o.status")))
+    counts = (issue_type == "incident") & (F.col("p.status") != F.col("o.status"))
 
     def stamp(column: str, when: Column) -> Column:
         by_hand = F.lit(False)
         if column in patches.columns:
             by_hand = F.col(f"p.{column}").isNotNull() & ~F.col(f"p.{column}").eqNullSafe(F.col(f"o.{column}"))
         unset = F.coalesce(F.col(f"o.{column}"), F.lit("")) == ""
-        return F.when(when & unset & ~by_hand, at).alias(column)
+        return F.when(counts & when & unset & ~by_hand, at)
+
+    return {"responded_at": stamp("responded_at", F.lit(True)), "resolved_at": stamp("resolved_at", is_terminal(ctx, F.col("p.status")))}
 
-    stamped = rows.select("o.id", stamp("responded_at", F.lit(True)), stamp("resolved_at", is_terminal(ctx, F.col("p.status"))))
-    return stamped.where("responded_at is not null or resolved_at is not null")
+
+def lifecycle_stamp(cases: DataFrame, patches: DataFrame, ctx: Context, at: str) -> DataFrame:
+    """id, responded_at, resolved_at: what a change of an incident's status stamps; null where nothing is stamped.
+
+    The first change is the response, one to a terminal status the resolution. A patch's own instant wins.
+    """
+    rows = _old_new(cases, patches).select("o.id", *(x.alias(c) for c, x in _lifecycle(patches, ctx, at).items()))
+    return rows.where("responded_at is not null or resolved_at is not null")
 
 
 def apply_patches(cases: DataFrame, patches: DataFrame, ctx: Context, at: str) -> DataFrame:
-    """The cases with patches, stamps and log entries applied. Each case has one patch at most."""
-    stamps = completion_stamp(cases, patches, ctx).withColumnRenamed("completed", "_completed")
-    life = lifecycle_stamp(cases, patches, ctx, at).withColumnsRenamed({"responded_at": "_responded_at", "resolved_at": "_resolved_at"})
-    log = activity_diff(cases, patches, at)
-    entry = F.struct("pos", F.struct("at", "field", "from", "to").alias("e"))
-    log = log.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["e"]).alias("_log"))
-    new = patches.select("id", *(F.col(c).alias(f"_new_{c}") for c in patches.columns if c != "id"))
-    out = cases
-    for part in (new, stamps, life, log):
-        out = out.join(part, "id", "left")
-    value = {c: F.coalesce(f"_new_{c}", c) for c in patches.columns if c != "id" and c in cases.columns}
-    for c in ("completed", "responded_at", "resolved_at"):
+    """The cases with patches, stamps and log entries applied, by one join. Each case has one patch at most."""
+    value = {c: F.coalesce(f"p.{c}", f"o.{c}") for c in patches.columns if c != "id" and c in cases.columns}
+    stamps = {}
+    if "status" in patches.columns:
+        stamps = {"completed": _completion(patches, ctx)} | (_lifecycle(patches, ctx, at) if "issue_type" in cases.columns else {})
+    for c, stamp in stamps.items():
         if c in cases.columns:
-            value[c] = F.coalesce(F.col(f"_{c}"), value.get(c, F.col(c)))
+            value[c] = F.coalesce(stamp, value.get(c, F.col(f"o.{c}")))
     if "activity" in cases.columns:
-        value["activity"] = F.concat(value.get("activity", F.col("activity")), F.coalesce("_log", F.array().cast(ENTRY))).cast(ENTRY)
-    return out.withColumns(value).select(cases.columns)
+        log = F.transform(_entries(cases, patches), lambda e: F.struct(F.lit(at).alias("at"), e["field"].alias("field"), e["from"].alias("from"), e["to"].alias("to")))
+        value["activity"] = F.concat(value.get("activity", F.col("o.activity")), F.when(F.col("p.id").isNotNull(), log).otherwise(F.array().cast(ENTRY))).cast(ENTRY)
+    rows = cases.alias("o").join(patches.alias("p"), F.col("o.id") == F.col("p.id"), "left")
+    return rows.select(*(value.get(c, F.col(f"o.{c}")).alias(c) for c in cases.columns))
 
 
 def tree_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -119,8 +128,8 @@ def tree_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def assign_keys(cases: DataFrame, prefix: str, next_seq: int = 1) -> DataFrame:
     """id, key: keys for the cases without one, in order of creation, then of the tree."""
-    order = Window.partitionBy("project_id").orderBy("created_at", *(["tree_pos"] if "tree_pos" in cases.columns else []), "id")
-    rows = cases.where(F.col("key") == "").withColumn("_n", F.row_number().over(order))
+    order = ["created_at", *(["tree_pos"] if "tree_pos" in cases.columns else []), "id"]
+    rows = numbered(cases.where(F.col("key") == "").select("project_id", *order), ["project_id"], order, "_n")
     return rows.select("id", F.concat(F.lit(prefix + "-"), (F.col("_n") + next_seq - 1).cast("string")).alias("key"))
 
 
@@ -136,16 +145,19 @@ def embedded_key(title: Column | str) -> Column:
     return F.when(title.rlike(EMBEDDED), found)
 
 
-def adopt_keys(cases: DataFrame, fallback: str = "") -> DataFrame:
+def adopt_keys(cases: DataFrame, fallback: str = "", stored: DataFrame | None = None) -> DataFrame:
     """id, key, title, how (adopted or assigned) of each case that gets a key, for each project.
 
-    cases has project_id, id, key, title, created_at and tree_pos. The prefix is that of most titles, the first of
-    equals, else `fallback`; projects without one get nothing. A key in a title is adopted, whatever its prefix, if no other case
+    cases has project_id, id, key, title, created_at and tree_pos. The prefix is the one that `stored` (project_id, key_prefix; a row
+    for a project) has, '' being none; else that of most titles, the first of equals, else `fallback`; projects without one get nothing. A key in a title is adopted, whatever its prefix, if no other case
     has its number; first come, first served. The others get new numbers above all used ones, oldest first.
     """
     rows = cases.select("project_id", "id", "key", "title", "created_at", "tree_pos", embedded_key("title").alias("e"))
     votes = rows.where("e is not null").groupBy("project_id", "e.prefix").agg(F.count("*").alias("n"), F.min("tree_pos").alias("at"))
     best = votes.groupBy("project_id").agg(F.max_by("prefix", F.struct("n", -F.col("at"))).alias("prefix"))
+    if stored is not None:
+        kept = stored.where("key_prefix <> ''").groupBy("project_id").agg(F.max("key_prefix").alias("_kept"))
+        best = best.join(kept, "project_id", "full").select("project_id", F.coalesce("_kept", "prefix").alias("prefix"))
     rows = rows.join(best, "project_id", "left").withColumn("prefix", F.coalesce("prefix", F.lit(fallback.upper())))
     rows = rows.where(F.col("prefix").rlike("^[A-Z][A-Z0-9]*$"))
     own = F.when(F.col("key").startswith(F.concat("prefix", F.lit("-"))), F.regexp_extract("key", r"-(\d+)$", 1).try_cast("long"))
@@ -159,9 +171,9 @@ def adopt_keys(cases: DataFrame, fallback: str = "") -> DataFrame:
     adopted = asking.withColumn("_n", first).where("_n = 1")
     adopted = adopted.select("project_id", "id", "prefix", "e.seq", F.col("e.title").alias("title"))
     top = used.union(adopted.select("project_id", "seq")).groupBy("project_id").agg(F.max("seq").alias("top"))
-    rest = rows.where("key = ''").join(adopted.select("id"), "id", "left_anti").join(top, "project_id", "left")
-    order = Window.partitionBy("project_id").orderBy("created_at", "tree_pos", "id")
-    fresh = F.coalesce("top", F.lit(0)) + F.row_number().over(order)
+    rest = rows.where("key = ''").join(adopted.select("id"), "id", "left_anti").select("project_id", "id", "prefix", "title", "created_at", "tree_pos")
+    rest = numbered(rest, ["project_id"], ["created_at", "tree_pos", "id"], "_place").join(top, "project_id", "left")
+    fresh = F.coalesce("top", F.lit(0)) + F.col("_place")
     assigned = rest.select("id", F.concat("prefix", F.lit("-"), fresh.cast("string")).alias("key"), "title", F.lit("assigned").alias("how"))
     given = adopted.select("id", F.concat("prefix", F.lit("-"), F.col("seq").cast("string")).alias("key"), "title", F.lit("adopted").alias("how"))
     return given.union(assigned)
@@ -183,19 +195,29 @@ def add_value(column: str, value: str) -> Column:
     return F.when(F.array_contains(column, value), F.col(column)).otherwise(F.array_append(column, F.lit(value)))
 
 
-def remap_deleted(cases: DataFrame, column: str, deleted: str, ctx: Context, issue_types: tuple = (), overriding: DataFrame | None = None) -> DataFrame:
-    """Cases whose id was deleted from a catalog, set to what takes its place.
+def remap_deleted(
+    cases: DataFrame, column: str, deleted: str, ctx: Context, issue_types: tuple = (), overriding: DataFrame | None = None, at: str = ""
+) -> DataFrame:
+    """Cases whose id was deleted from a catalog, set to what takes its place; with `at`, stamped and logged as any change is.
 
-    A status becomes the catalog's first; an issue type `task`, or the first if there is none; severity and verdict ''.
+    A status becomes the catalog's first; an issue type `task`, or the first if there is none; severity and verdict ''. Nothing
+    changes where a catalog has no status left.
     Projects in `overriding` (project_id), which define the id themselves, are left alone.
     """
     if column == "status":
-        value = next(s[0] for s in ctx.statuses if s[0] != deleted)
+        value = next((s[0] for s in ctx.statuses if s[0] != deleted), None)
+        if value is None:
+            return cases
     elif column == "issue_type":
         left = [t[0] for t in issue_types if t[0] != deleted]
         value = "task" if "task" in left or not left else left[0]
     else:
         value = ""
+    if at:
+        chosen = cases.where(F.col(column) == deleted)
+        if overriding is not None:
+            chosen = chosen.join(overriding.select("project_id").distinct(), "project_id", "left_anti")
+        return apply_patches(cases, chosen.select("id", F.lit(value).alias(column)), ctx, at)
     if overriding is None:
         return update(cases, F.col(column) == deleted, {column: F.lit(value)})
     marked = cases.join(overriding.select(F.col("project_id").alias("_own")).distinct(), F.col("project_id") == F.col("_own"), "left")
@@ -269,16 +291,58 @@ def free_name(taken: DataFrame, name: str) -> DataFrame:
     return free.select(F.when(F.col("n") == 1, f"{name} (copy)").otherwise(F.concat(F.lit(f"{name} (copy "), F.col("n").cast("string"), F.lit(")"))).alias("name"))
 
 
-#: Templates of new incidents by id, name and columns.
+#: Templates of new incidents by id, name, columns and the items of the body's checklist.
 TEMPLATES = (
-    ("phishing", "Phishing", {"severity": "sev3", "priority": "high", "tags": ["phishing"]}),
-    ("malware", "Malware", {"severity": "sev2", "priority": "high", "tags": ["malware"]}),
-    ("credential-compromise", "Credential compromise", {"severity": "sev2", "priority": "critical", "tags": ["credentials"]}),
+    (
+        "phishing",
+        "Phishing",
+        {"severity": "sev3", "priority": "high", "tags": ["phishing"]},
+        (
+            "Preserve the original email (headers included)",
+            "Extract and record IOCs (sender, URLs, attachments)",
+            "Check who else received it / clicked",
+            "Block sender / URLs where confirmed malicious",
+            "Reset credentials for anyone who submitted them",
+            "Record verdict and close",
+        ),
+    ),
+    (
+        "malware",
+        "Malware",
+        {"severity": "sev2", "priority": "high", "tags": ["malware"]},
+        (
+            "Isolate the affected host",
+            "Capture hashes and record IOCs",
+            "Identify the malware family and delivery vector",
+            "Scope lateral movement / other detections",
+            "Remediate and restore",
+            "Record verdict and close",
+        ),
+    ),
+    (
+        "credential-compromise",
+        "Credential compromise",
+        {"severity": "sev2", "priority": "critical", "tags": ["credentials"]},
+        (
+            "Disable / reset the affected account(s)",
+            "Revoke active sessions and tokens",
+            "Review sign-in and audit logs for misuse",
+            "Identify the exposure vector",
+            "Check for persistence (forwarding rules, MFA changes)",
+            "Record verdict and close",
+        ),
+    ),
 )
 
 
+def template_body(items: tuple[str, ...]) -> str:
+    """A body with an empty summary and a checklist."""
+    return "\n".join(["## Summary", "", "", "## Checklist", *(f"- [ ] {x}" for x in items)])
+
+
 def from_template(blank: DataFrame, template: str, now: str) -> DataFrame:
-    """Blank cases made incidents of a template, detected now."""
-    values = next(v for i, _, v in TEMPLATES if i == template)
+    """Blank cases made incidents of a template, with its body, detected now."""
+    values, items = next((v, x) for i, _, v, x in TEMPLATES if i == template)
+    values = values | {"description": template_body(items)}
     columns = {c: F.array(*map(F.lit, x)) if isinstance(x, list) else F.lit(x) for c, x in values.items()}
     return blank.withColumns(columns | {"issue_type": F.lit("incident"), "detected_at": F.lit(now)})

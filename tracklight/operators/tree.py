@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklight.functions.sla import sla_sort, sla_state
-from tracklight.model import Context, is_terminal, rank
-from tracklight.operators.common import checkpoint, recursive
+from tracklight.model import Context, is_terminal, rank, status_rank
+from tracklight.operators.common import checkpoint, numbered, recursive
 
 #: Deepest tree that is walked.
 LEVELS = 1000
@@ -124,16 +124,19 @@ def sort_columns(key: str, ctx: Context, descending: bool = False) -> list[Colum
     Keys: title, status, severity, due (unset last, so first when descending), assignees (the first one),
     progress, sla (closest to its breach first, then cases without a clock, then those that are over).
     """
-    keys: list[Column] = {
+    return [k.desc() if descending else k.asc() for k in _keys(key, ctx)]
+
+
+def _keys(key: str, ctx: Context) -> list[Column]:
+    return {
         "title": lambda: [_text(F.col("title"))],
-        "status": lambda: [rank(ctx.statuses, F.col("status"))],
+        "status": lambda: [status_rank(ctx)],
         "severity": lambda: [rank(ctx.severities, F.col("severity"))],
         "due": lambda: [F.when(F.coalesce("due", F.lit("")) == "", "zzz").otherwise(F.col("due"))],
         "assignees": lambda: [_text(F.coalesce(F.get("assignees", F.lit(0)), F.lit("")))],
         "progress": lambda: [F.col("progress")],
         "sla": lambda: sla_sort(ctx, sla_state(ctx), is_terminal(ctx)),
     }.get(key, list)()
-    return [k.desc() if descending else k.asc() for k in keys]
 
 
 def sorted_rows(
@@ -149,8 +152,10 @@ def sorted_rows(
         ids = kept.select(F.col("id").alias("_p"))
         kept = kept.join(ids, F.col("parent_id") == F.col("_p"), "left")
         kept = kept.withColumn("parent_id", F.when(F.col("_p").isNull(), "").otherwise(F.col("parent_id"))).drop("_p")
-    place = F.row_number().over(Window.partitionBy("parent_id").orderBy(*sort_columns(key, ctx, descending), tie, "id"))
-    slim = kept.select("id", "parent_id", place.alias("ord"), F.coalesce("collapsed", F.lit(False)).alias("collapsed"))
+    keys = _keys(key, ctx)
+    slim = kept.select("id", "parent_id", F.coalesce("collapsed", F.lit(False)).alias("collapsed"), F.col(tie).alias("_tie"), *(k.alias(f"_k{i}") for i, k in enumerate(keys)))
+    order = [F.col(f"_k{i}").desc() if descending else F.col(f"_k{i}").asc() for i in range(len(keys))]
+    slim = numbered(slim, ["parent_id"], [*order, "_tie", "id"], "ord").select("id", "parent_id", "ord", "collapsed")
     columns = {"depth": DEPTH, "path": PATH, "shut": ("c.collapsed", "c.collapsed")}
     below = "NOT w.shut" if keep is None else "true"
     return _walk(slim, columns, below=below).drop("shut")
