@@ -56,6 +56,8 @@ class Context:
     severities: tuple = SEVERITIES
     verdicts: tuple = VERDICTS
     sla: dict = field(default_factory=lambda: dict(SLA_MINUTES))
+    #: Whether cases carry their own project's statuses, as `catalogs.attach` gives them; `statuses` holds for all otherwise.
+    per_project: bool = False
 
     @property
     def terminal(self) -> tuple[str, ...]:
@@ -122,7 +124,26 @@ def label(catalog: tuple, value: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*pairs), value), value) if pairs else value
 
 
+#: Columns of a case's project: ids of its statuses in their order, and those of them that end work.
+STATUS_IDS, TERMINAL_IDS = "status_ids", "terminal_ids"
+
+
 def is_terminal(ctx: Context, status: Column | str = "status") -> Column:
-    """Whether work on a case of this status is over; an unknown status isn't."""
+    """Whether work on a case of this status is over; an unknown status isn't. By the case's project where the context says so."""
     status = F.col(status) if isinstance(status, str) else status
-    return F.coalesce(status.isin(*ctx.terminal), F.lit(False))
+    over = F.array_contains(F.col(TERMINAL_IDS), status) if ctx.per_project else status.isin(*ctx.terminal)
+    return F.coalesce(over, F.lit(False))
+
+
+def status_rank(ctx: Context, unknown: int = 999) -> Column:
+    """Place of a case's status in its catalog, from 0."""
+    if not ctx.per_project:
+        return rank(ctx.statuses, F.col("status"), unknown)
+    place = F.array_position(STATUS_IDS, F.col("status"))
+    return F.when(place > 0, (place - 1).cast("int")).otherwise(F.lit(unknown))
+
+
+def has_status(ctx: Context) -> Column:
+    """Whether a case's status is in its catalog."""
+    known = F.array_contains(F.col(STATUS_IDS), F.col("status")) if ctx.per_project else F.col("status").isin(*(s[0] for s in ctx.statuses))
+    return F.coalesce(known, F.lit(False))

@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracklight.model import STATUS_IDS, TERMINAL_IDS
+from tracklight.operators.common import checkpoint
+
+#: Most projects whose catalogs are broadcast; beyond it Catalyst joins by project, and AQE splits those with many cases.
+BROADCAST_PROJECTS = 50_000
+
 
 def resolve(own: DataFrame, default: DataFrame, in_use: DataFrame) -> DataFrame:
     """project_id, pos, id, label, complete of each project's catalog.
@@ -30,6 +36,28 @@ def resolve(own: DataFrame, default: DataFrame, in_use: DataFrame) -> DataFrame:
     return rows.select("project_id", place.alias("pos"), "id", "label", "complete")
 
 
+def in_use(cases: DataFrame, column: str = "status") -> DataFrame:
+    """project_id, id, first_pos of what cases use, as resolve() takes it; first in the order of tree_pos where there is one, else of ord."""
+    place = next(c for c in ("tree_pos", "ord") if c in cases.columns)
+    return cases.groupBy("project_id", F.col(column).alias("id")).agg(F.min(place).alias("first_pos"))
+
+
+def attach(cases: DataFrame, catalog: DataFrame) -> DataFrame:
+    """`cases` with their project's status_ids and terminal_ids, for operators with a context of per_project=True.
+
+    catalog is resolve()'s: project_id, pos, id, complete; one row is made of a project's, as many elements long as its settings
+    have statuses. A case of a project without a catalog has null lists: it's never over and its status is unknown.
+    """
+    entries = F.array_sort(F.collect_list(F.struct("pos", "id", F.coalesce("complete", F.lit(False)).alias("complete"))))
+    lists = catalog.groupBy("project_id").agg(entries.alias("_e")).select(
+        F.col("project_id").alias("_p"), F.col("_e.id").alias(STATUS_IDS), F.filter("_e", lambda e: e["complete"])["id"].alias(TERMINAL_IDS)
+    )
+    lists = checkpoint(lists)
+    few = lists.limit(BROADCAST_PROJECTS + 1).count() <= BROADCAST_PROJECTS
+    out = cases.drop(STATUS_IDS, TERMINAL_IDS)
+    return out.join(F.broadcast(lists) if few else lists, F.col("project_id") == F.col("_p"), "left").drop("_p")
+
+
 def upsert_palette(catalog: DataFrame, incoming: DataFrame, in_use: DataFrame) -> DataFrame:
     """ord, id, label of a catalog with a foreign palette: known ids take its label, new ones follow the last known before them.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracklight.functions.dates import iso_week_label, utc_date
 from tracklight.functions.ioc import ioc_line
 from tracklight.functions.sla import at_risk, format_remaining, sla_state
-from tracklight.model import BUCKETS, HANDOVER_HOURS, LEAD_DAYS, Context, is_terminal, label, rank
+from tracklight.model import BUCKETS, HANDOVER_HOURS, LEAD_DAYS, Context, has_status, is_terminal, label, rank
 
 HOUR = 3_600_000
 WEEK = 7 * 24 * HOUR
@@ -157,7 +157,7 @@ def distinct_values(cases: DataFrame, column: str, more: tuple[str, ...] = ()) -
 def wip_counts(cases: DataFrame, ctx: Context, limits: dict[str, int], lane: Column | None = None) -> DataFrame:
     """lane, status, count (long), over: cards in each column of a board, against the column's limit."""
     lane = F.lit("all") if lane is None else lane
-    shown = cases.where(F.col("status").isin(*(s[0] for s in ctx.statuses)))
+    shown = cases.where(has_status(ctx))
     counted = shown.groupBy(lane.alias("lane"), "status").count()
     pairs = [x for s, n in limits.items() for x in (F.lit(s), F.lit(n))]
     limit = F.element_at(F.create_map(*pairs), F.col("status")) if pairs else F.lit(None).cast("int")
