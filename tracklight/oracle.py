@@ -600,3 +600,91 @@ SELECT p_partkey, regexp_replace(lower(trim(t)), '\s+', '-', 'g') AS slug,
         'Line "one"' || chr(10) || 'and \\ two of ' || title AS description, project_id AS site FROM cases"""
     ),
 }
+
+_OWN = """, own(project_id, pos, id, complete) AS (VALUES ('P1', 0, 'open', false), ('P1', 1, 'todo', false), ('P1', 2, 'done', true), ('P2', 0, 'review', true), ('P2', 1, 'done', false)),
+  u AS (SELECT project_id, status AS id, min(tree_pos) AS f FROM cases GROUP BY 1, 2),
+  base AS (SELECT * FROM own UNION ALL SELECT DISTINCT u.project_id, s.pos, sid, term FROM u, statuses s WHERE u.project_id NOT IN ('P1', 'P2')),
+  al AS (SELECT project_id, 0 AS part, pos AS f, id, complete FROM base UNION ALL
+    SELECT u.project_id, 1, u.f, u.id, coalesce(term, false) FROM u LEFT JOIN statuses ON sid = u.id WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.project_id = u.project_id AND b.id = u.id)),
+  cat AS (SELECT project_id, id AS sid, complete, row_number() OVER (PARTITION BY project_id ORDER BY part, f, id) - 1 AS place FROM al)
+"""
+_LINES = """WITH t AS (SELECT c_custkey AS n, DATE '2000-11-03' + CAST(c_custkey % 400 AS INT) AS o FROM customer), tl AS (SELECT n, o, o + CAST(n % 120 + 1 AS INT) AS e FROM t)"""
+_NEW = "p.status IS NOT NULL AND p.status <> c.status"
+
+ORACLE_SQL |= {
+    "own_catalog_progress": _sql(
+        _OWN + "SELECT c.project_id, count(*) AS total, count(*) FILTER (x.complete) AS done FROM cases c JOIN cat x ON x.project_id = c.project_id AND x.sid = c.status GROUP BY 1"
+    ),
+    "own_catalog_ranks": _sql(
+        _OWN
+        + f"""SELECT c.id, x.place AS status_rank, x.complete AS terminal, CASE WHEN x.complete OR due_d IS NULL THEN 'normal' WHEN due_d < {_DUE} THEN 'overdue' WHEN due_d < {_DUE} + 3 THEN 'near' ELSE 'normal' END AS urgency
+        FROM cases c JOIN cat x ON x.project_id = c.project_id AND x.sid = c.status"""
+    ),
+    "own_catalog_stamps": _sql(
+        _OWN
+        + f""", p AS (SELECT id, CASE WHEN k % 4 = 0 THEN 'done' ELSE 'review' END AS status FROM cases WHERE k % 2 = 0),
+        y AS (SELECT c.*, p.status AS ps, coalesce(a.complete, false) AS was, coalesce(b.complete, false) AS now_over, {_NEW} AS moved FROM cases c LEFT JOIN p USING (id)
+          LEFT JOIN cat a ON a.project_id = c.project_id AND a.sid = c.status LEFT JOIN cat b ON b.project_id = c.project_id AND b.sid = p.status)
+        SELECT id, coalesce(ps, status) AS status, CASE WHEN ps IS NULL THEN completed WHEN now_over AND NOT was THEN '2001-08-02' WHEN was AND NOT now_over THEN '' ELSE completed END AS completed,
+          CASE WHEN moved AND issue_type = 'incident' AND now_over AND resolved_at = '' THEN '2001-08-02T12:00:00Z' ELSE resolved_at END AS resolved_at FROM y"""
+    ),
+    "remap_logged": _sql(
+        """, y AS (SELECT *, status = 'cancelled' AND project_id NOT IN ('P3', 'P4') AS hit FROM cases)
+        SELECT id, CASE WHEN hit THEN 'todo' ELSE status END AS status, CASE WHEN hit THEN '' ELSE completed END AS completed,
+          CASE WHEN hit AND issue_type = 'incident' AND responded_at = '' THEN '2001-08-02T12:00:00Z' ELSE responded_at END AS responded_at,
+          CAST(hit AS BIGINT) AS entries, CASE WHEN hit THEN 'cancelled' END AS was FROM y"""
+    ),
+    "adopt_stored_prefix": _sql(
+        r""", x AS (SELECT project_id, id, tree_pos, TRY_CAST(nullif(regexp_extract(title, '^OPS-(\d+):', 1), '') AS BIGINT) AS seq FROM cases),
+        has AS (SELECT DISTINCT project_id FROM x WHERE seq IS NOT NULL UNION SELECT 'P1'),
+        y AS (SELECT *, seq IS NOT NULL AND row_number() OVER (PARTITION BY project_id, seq ORDER BY tree_pos) = 1 AS first FROM x JOIN has USING (project_id))
+        SELECT id, CASE WHEN project_id = 'P1' THEN 'SEC' ELSE 'OPS' END AS prefix, CASE WHEN first THEN 'adopted' ELSE 'assigned' END AS how FROM y"""
+    ),
+    "incident_templates": _sql(
+        """SELECT id, 'incident' AS issue_type, 'sev2' AS severity, 'high' AS priority, 'malware' AS tags, CAST(7 AS BIGINT) AS parts, '2001-08-02T12:00:00Z' AS detected_at FROM cases WHERE issue_type = 'task'"""
+    ),
+    "name_hue": """SELECT c_custkey, abs(list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(1, length(c_name) + 1), i -> CAST(ascii(substr(c_name, i, 1)) AS BIGINT))),
+      lambda h, c: c + ((((((h + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648) * 32 + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648) - h)) % 360 AS hue FROM customer""".replace("i -> CAST", "lambda i: CAST"),
+    "import_note": """SELECT 'Notes/a/' || c_name || '.md' AS path, c_name AS title, 'Body of ' || c_name AS description, c_custkey % 3 = 0 AS skipped FROM customer""",
+    "palette_upsert": _sql(
+        """, r(a, b, id, label) AS (VALUES (-1, 1, 'first', 'First'), (0, 0, 'todo', 'To Do'), (1, 0, 'in-progress', 'In Progress'), (2, 0, 'blocked', 'Stuck'), (2, 3, 'wait', 'Waiting'),
+          (3, 0, 'review', 'In Review'), (4, 0, 'done', 'Done'), (5, 0, 'cancelled', 'Cancelled')),
+        al AS (SELECT * FROM r UNION ALL SELECT DISTINCT 1000, 0, 'odd', 'odd' FROM cases WHERE k % 5 = 0)
+        SELECT row_number() OVER (ORDER BY a, b, id) - 1 AS ord, id, label FROM al"""
+    ),
+    "timeline_weeks": _LINES
+    + """, d AS (SELECT n, o, e, CAST(o + CAST(i AS INT) AS DATE) AS d FROM tl, range(0, 121) r(i) WHERE o + CAST(i AS INT) < e),
+      w AS (SELECT n, o, d, CASE WHEN d = o AND isodow(d) > 1 THEN 8 - isodow(d) ELSE least(7, e - d) END AS days FROM d WHERE d = o OR isodow(d) = 1),
+      x AS (SELECT *, CAST(d + CAST(days - 1 AS INT) AS DATE) AS l FROM w)
+      SELECT CAST(n AS INT) AS n, 'W' || weekofyear(d) || ': ' || strftime(d, '%b') || ' ' || day(d) || CASE WHEN month(d) = month(l) THEN '–' || day(l) ELSE ' – ' || strftime(l, '%b') || ' ' || day(l) END AS label,
+        (d - o) * 24.0::DOUBLE AS x, days * 24.0::DOUBLE AS width FROM x""",
+    "timeline_bands": _LINES
+    + """, m AS (SELECT n, o, e, CAST(date_trunc('year', o) AS DATE) AS y FROM tl),
+      b AS (SELECT n, o, e, 'month_year' AS unit, 1 AS len, CAST(y + to_months(CAST(i AS INT)) AS DATE) AS d FROM m, range(0, 24) r(i)
+        UNION ALL SELECT n, o, e, 'quarter', 3, CAST(y + to_months(CAST(3 * i AS INT)) AS DATE) FROM m, range(0, 8) r(i)
+        UNION ALL SELECT n, o, e, 'year', 12, CAST(y + to_months(CAST(12 * i AS INT)) AS DATE) FROM m, range(0, 2) r(i)),
+      c AS (SELECT *, greatest(d, o) AS f, least(CAST(d + to_months(len) AS DATE), e) AS l FROM b)
+      SELECT CAST(n AS INT) AS n, unit, CASE unit WHEN 'year' THEN CAST(year(d) AS VARCHAR) WHEN 'quarter' THEN 'Q' || quarter(d) || ' ' || year(d) ELSE strftime(d, '%b %y') END AS label,
+        (f - o) * 8.0::DOUBLE AS x, (l - f) * 8.0::DOUBLE AS width FROM c WHERE f < l""",
+    "timeline_snap": _LINES
+    + """, d AS (SELECT n, CAST(i AS INT) AS i, CAST(o + CAST(i AS INT) AS DATE) AS d FROM tl, range(0, 122) r(i) WHERE o + CAST(i AS INT) <= e),
+      g AS (SELECT n, count(*) AS day_points, count(*) FILTER (isodow(d) IN (1, 4)) AS week_points, count(*) FILTER (day(d) IN (1, 8, 15, 22)) AS month_points, count(*) FILTER (day(d) = 1) AS quarter_points FROM d GROUP BY n),
+      s AS (SELECT n, i * 10.0::DOUBLE AS p FROM d WHERE day(d) IN (1, 8, 15, 22) AND abs(n % 900 - i * 10) <= 25 QUALIFY row_number() OVER (PARTITION BY n ORDER BY abs(n % 900 - i * 10), i) = 1)
+      SELECT CAST(n AS INT) AS n, day_points, week_points, month_points, quarter_points, coalesce(p, CAST(n % 900 AS DOUBLE)) AS snapped FROM g LEFT JOIN s USING (n)""",
+    "local_input": _sql(
+        """SELECT id, strftime(epoch_ms(created_ms + 19800000), '%Y-%m-%dT%H:%M') AS there, strftime(epoch_ms(created_ms // 60000 * 60000), '%Y-%m-%dT%H:%M:00.000Z') AS back FROM cases"""
+    ),
+    "project_round_trip": _sql(
+        """, r AS (SELECT project_id, string_agg(id, ',' ORDER BY k) AS roots FROM cases WHERE k % 40 < 10 OR parent_id = '' GROUP BY 1)
+        SELECT 'P' || n_nationkey AS id, n_name AS title, 'Two "lines"' || chr(10) || 'of ' || n_name AS description, '#abcdef' AS color, CASE WHEN n_nationkey % 2 = 0 THEN 'SOC' ELSE '' END AS key_prefix,
+          CAST(CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey + 5 ELSE 1 END AS BIGINT) AS next_key_seq, 'Ann,' || n_name AS team, coalesce(roots, '') AS roots,
+          CASE WHEN n_nationkey = 3 THEN 'Mine' END AS view_name, CASE WHEN n_nationkey = 3 THEN 'a,b' END AS view_tags, CASE WHEN n_nationkey = 3 THEN 'desc' END AS view_dir,
+          CASE WHEN n_nationkey % 4 <> 1 THEN 'Open "' || n_name || '"' END AS status_label, CASE WHEN n_nationkey % 4 <> 1 AND n_nationkey > 0 THEN CAST(n_nationkey AS DOUBLE) END AS wip_limit,
+          CASE WHEN n_nationkey % 4 <> 1 THEN n_nationkey % 3 = 0 END AS auto_schedule, 'Cases/' || n_name || '.md' AS file_path
+        FROM nation LEFT JOIN r ON project_id = 'P' || n_nationkey"""
+    ),
+    "embedded_tasks": """SELECT 'R' || n_regionkey AS project_id, 'n' || n_nationkey AS id, n_name AS title, 'blocked' AS status, '' AS parent_id,
+        row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS ord, false AS collapsed FROM nation
+      UNION ALL SELECT 'R' || n_regionkey, 's' || n_nationkey, 'Sub', 'todo', 'n' || n_nationkey, 0, true FROM nation""",
+    "saved_view": _sql("SELECT id, 'v2' AS view_name FROM cases WHERE severity IN ('sev1', 'sev2') AND status IN ('todo', 'blocked') AND NOT archived"),
+}

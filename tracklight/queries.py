@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracklight.functions import dates, ioc, reputation, sla, text
-from tracklight.model import PRIORITIES, is_terminal, label, rank
+from tracklight.functions import dates, ioc, reputation, sla, text, timeline
+from tracklight.model import PRIORITIES, is_terminal, label, rank, status_rank
 from tracklight.operators import capture, catalogs, imports, predicates, reports, schedule, tree
 from tracklight.operators.predicates import Filter
+from tracklight.sources import projects as project_notes
 from tracklight.sources import vault
 from tracklight.sources.tables import CONTEXT as CTX
 from tracklight.sources.tables import activity, cases, table
@@ -719,6 +720,161 @@ def yaml_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _own_catalogs(rows: DataFrame) -> DataFrame:
+    """Cases of projects of which P1 and P2 have their own statuses."""
+    spark = rows.sparkSession
+    default = spark.createDataFrame([(i, *s) for i, s in enumerate(CTX.statuses)], "ord int, id string, label string, complete boolean")
+    own = [("P1", 0, "open", "Open", False), ("P1", 1, "todo", "Queue", False), ("P1", 2, "done", "Shut", True), ("P2", 0, "review", "Checked", True), ("P2", 1, "done", "Handed in", False)]
+    catalog = catalogs.resolve(spark.createDataFrame(own, "project_id string, ord int, id string, label string, complete boolean"), default, catalogs.in_use(rows))
+    return catalogs.attach(rows, catalog)
+
+
+@query("own_catalog_progress")
+def own_catalog_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.project_progress(_own_catalogs(cases(spark, sf_dir)), CTX.but(per_project=True))
+
+
+@query("own_catalog_ranks")
+def own_catalog_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ctx = CTX.but(per_project=True)
+    rows = _own_catalogs(cases(spark, sf_dir))
+    return rows.select("id", status_rank(ctx).cast("long").alias("status_rank"), is_terminal(ctx).alias("terminal"), dates.due_urgency(ctx).alias("urgency"))
+
+
+@query("own_catalog_stamps")
+def own_catalog_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _own_catalogs(cases(spark, sf_dir))
+    patches = rows.where("k % 2 = 0").select("id", F.when(F.col("k") % 4 == 0, "done").otherwise("review").alias("status"))
+    return capture.apply_patches(rows, patches, CTX.but(per_project=True), NOW_TEXT).select("id", "status", "completed", "resolved_at")
+
+
+@query("remap_logged")
+def remap_logged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deleted status that goes through the stamps and the log."""
+    own = spark.createDataFrame([("P3",), ("P4",)], "project_id string")
+    rows = cases(spark, sf_dir).withColumn("activity", F.array().cast(capture.ENTRY))
+    out = capture.remap_deleted(rows, "status", "cancelled", CTX, overriding=own, at=NOW_TEXT)
+    return out.select("id", "status", "completed", "responded_at", F.size("activity").cast("long").alias("entries"), F.get("activity", F.lit(0))["from"].alias("was"))
+
+
+@query("adopt_stored_prefix")
+def adopt_stored_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = spark.createDataFrame([("P1", "SEC"), ("P2", "")], "project_id string, key_prefix string")
+    return capture.adopt_keys(cases(spark, sf_dir).withColumn("key", F.lit("")), stored=stored).select("id", F.split("key", "-")[0].alias("prefix"), "how")
+
+
+@query("incident_templates")
+def incident_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blank = cases(spark, sf_dir).where("issue_type = 'task'").select("id", "issue_type", "severity", "priority", "tags", F.lit("").alias("description"), "detected_at")
+    out = capture.from_template(blank, "malware", NOW_TEXT)
+    return out.select("id", "issue_type", "severity", "priority", F.array_join("tags", ",").alias("tags"), F.size(F.split("description", "\n- \\[ \\] ")).cast("long").alias("parts"), "detected_at")
+
+
+@query("name_hue")
+def name_hue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", text.hue("c_name").cast("long").alias("hue"))
+
+
+@query("import_note")
+def import_note(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mark = F.when(F.col("c_custkey") % 3 == 0, "---\npm-task: true\n---\n").when(F.col("c_custkey") % 3 == 1, "---\na: 1\n---\n").otherwise("")
+    notes = table(spark, sf_dir, "customer").select(F.concat(F.lit("Notes/a/"), "c_name", F.lit(".md")).alias("path"), F.concat(mark, F.lit("Body of "), "c_name").alias("value"))
+    return vault.import_note(notes)
+
+
+@query("palette_upsert")
+def palette_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    default = spark.createDataFrame([(i, s[0], s[1]) for i, s in enumerate(CTX.statuses)], "ord int, id string, label string")
+    foreign = spark.createDataFrame([(0, "first", "First"), (1, "blocked", "Stuck"), (2, "wait", "Waiting")], "ord int, id string, label string")
+    used = cases(spark, sf_dir).select(F.when(F.col("k") % 5 == 0, "odd").otherwise(F.col("status")).alias("id"))
+    out = catalogs.upsert_palette(default, foreign, used)
+    return out.select(F.col("ord").cast("long").alias("ord"), "id", "label")
+
+
+def _timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n, origin, end of a timeline for each customer."""
+    n = F.col("c_custkey").cast("int")
+    rows = table(spark, sf_dir, "customer").select(n.alias("n"), F.date_add(F.lit("2000-11-03").cast("date"), n % 400).alias("origin"))
+    return rows.withColumn("end", F.date_add("origin", F.col("n") % 120 + 1))
+
+
+@query("timeline_weeks")
+def timeline_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _timelines(spark, sf_dir)
+    return rows.select("n", F.inline(timeline.weeks(F.col("origin"), F.col("end"), 24.0)))
+
+
+@query("timeline_bands")
+def timeline_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _timelines(spark, sf_dir)
+    parts = [rows.select("n", F.lit(u).alias("unit"), F.inline(timeline.bands(F.col("origin"), F.col("end"), 8.0, u))) for u in ("month_year", "quarter", "year")]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("timeline_snap")
+def timeline_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _timelines(spark, sf_dir)
+    points = {g: timeline.snap_points(F.col("origin"), F.col("end"), g, 10.0) for g in timeline.SNAPS}
+    x = (F.col("n") % 900).cast("double")
+    return rows.select("n", *(F.size(p).cast("long").alias(f"{g}_points") for g, p in points.items()), timeline.snap(x, points["month"], 25.0).alias("snapped"))
+
+
+@query("local_input")
+def local_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    there = timeline.local_input("created_at", "+05:30")
+    return cases(spark, sf_dir).select("id", there.alias("there"), timeline.from_local_input(there, "+05:30").alias("back"))
+
+
+@query("project_round_trip")
+def project_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations written as projects with views and settings of their own, and read back."""
+    n = F.col("n_nationkey")
+    entry = "array<struct<id: string, label: string, color: string, icon: string>>"
+    statuses = F.array(F.struct(F.lit("open").alias("id"), F.concat(F.lit('Open "'), "n_name", F.lit('"')).alias("label"), F.lit("#112233").alias("color"), F.lit("").alias("icon"), F.lit(True).alias("complete"), n.cast("double").alias("wip_limit")))
+    config = F.struct(statuses.alias("statuses"), F.lit(None).cast(entry).alias("priorities"), F.lit(None).cast(entry).alias("issue_types"), F.lit("kanban").alias("default_view"), (n % 3 == 0).alias("auto_schedule"), F.lit(None).cast("boolean").alias("kanban_show_subtasks"), F.lit(None).cast("boolean").alias("kanban_show_description_preview"))
+    made = table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("P"), n.cast("string")).alias("id"), F.col("n_name").alias("title"), F.concat(F.lit('Two "lines"\nof '), "n_name").alias("description"), F.lit("#abcdef").alias("color"), F.lit("i").alias("icon"),
+        F.lit("[]").alias("custom_fields"), F.array(F.lit("Ann"), F.col("n_name")).alias("team_members"), F.when(n % 2 == 0, "SOC").otherwise("").alias("key_prefix"), (n + 5).cast("long").alias("next_key_seq"),
+        F.lit(NOW_TEXT).alias("created_at"), F.lit(NOW_TEXT).alias("updated_at"), F.concat(F.lit("Cases/"), "n_name", F.lit(".md")).alias("file_path"), F.lit(None).cast("array<string>").alias("task_ids"),
+        F.lit(None).cast(f"array<{project_notes.VIEW}>").alias("saved_views"), F.when(n % 4 != 1, config).alias("config"),
+    )
+    made = project_notes.save_view(made, "P3", project_notes.make_view("v1", "Mine", Filter(text="type:incident", tags=("a", "b")), "due", True, "table"))
+    rows = cases(spark, sf_dir).withColumn("parent_id", F.when(F.col("k") % 40 < 10, "").otherwise(F.col("parent_id"))).withColumn("file_path", F.concat(F.lit("T/"), "id", F.lit(".md")))
+    notes = project_notes.render_projects(made, rows, CTX).withColumnRenamed("file_path", "path")
+    back = project_notes.parse_projects(project_notes.discover(notes))
+    view = F.get("saved_views", F.lit(0))
+    return back.select(
+        "id", "title", "description", "color", "key_prefix", "next_key_seq", F.array_join("team_members", ",").alias("team"), F.array_join("task_ids", ",").alias("roots"), view["name"].alias("view_name"),
+        F.array_join(view["filter"]["tags"], ",").alias("view_tags"), view["sort_dir"].alias("view_dir"), F.get("config.statuses", F.lit(0))["label"].alias("status_label"),
+        F.get("config.statuses", F.lit(0))["wip_limit"].alias("wip_limit"), F.col("config.auto_schedule").alias("auto_schedule"), "file_path",
+    )
+
+
+@query("embedded_tasks")
+def embedded_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions as old projects that hold their nations as cases, each with a case below it."""
+    key = F.col("n_nationkey").cast("string")
+    sub = F.struct(F.concat(F.lit("s"), key).alias("id"), F.lit("Sub").alias("title"), F.lit(True).alias("collapsed"))
+    task = F.struct(F.col("n_nationkey"), F.concat(F.lit("n"), key).alias("id"), F.col("n_name").alias("title"), F.lit("blocked").alias("status"), F.array(sub).alias("subtasks"))
+    rows = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(task)).alias("tasks"))
+    region = F.col("n_regionkey").cast("string")
+    value = F.concat(F.lit("---\npm-project: true\nid: R"), region, F.lit("\ntasks: "), F.to_json("tasks"), F.lit("\n---\n"))
+    files = rows.select(value.alias("value"), F.concat(F.lit("R"), region, F.lit(".md")).alias("path"))
+    out = project_notes.parse_embedded(project_notes.discover(files))
+    return out.select("project_id", "id", "title", "status", "parent_id", F.col("ord").cast("long").alias("ord"), "collapsed")
+
+
+@query("saved_view")
+def saved_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases that a project's saved view shows, once it was saved, updated and chosen by its id."""
+    made = spark.createDataFrame([("P1",), ("P2",)], "id string").withColumn("saved_views", F.lit(None).cast(f"array<{project_notes.VIEW}>"))
+    for v in ("v1", "v2"):
+        made = project_notes.save_view(made, "P1", project_notes.make_view(v, v, Filter(text="type:incident")))
+    made = project_notes.update_view(made, "P1", project_notes.make_view("v2", "", Filter(text="sev:>=high", statuses=("todo", "blocked")), "due", True))
+    view = project_notes.select_view(project_notes.delete_view(made, "P1", "v1"), "P1", "v2")
+    return project_notes.apply_view(cases(spark, sf_dir), view, CTX).select("id", F.lit(view["name"]).alias("view_name"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SLA compliance of the incidents of high severity whose clock is breached."""
     chosen = predicates.search(cases(spark, sf_dir), "type:incident sev:>=high sla:breached", CTX)
