@@ -6,20 +6,23 @@ of the product is at most that of the two suffix norms, so a pair stops once its
 reach the threshold. What survives is compared on the vectors as given.
 
 Equal vectors are made one first, with their number, so copies cost nothing. A label with many
-vectors is dealt as pairs of parts to as many tasks as it needs. The pairs within a label are still
-all looked at, by design of the method: work grows with the square of a label's distinct vectors.
+vectors is cut into parts along the first principal axis and dealt as pairs of parts to as many tasks as it
+needs. The first coordinates of two unit vectors differ by no more than the vectors do, so parts that lie farther apart
+than the threshold's distance are never paired, and no link is lost. Within the paired parts all pairs are looked at: where a
+label's vectors all lie close together along that axis, work still grows with the square of its distinct vectors.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracklight.llm.common import checkpoint, join_counted, letting_go, long
 from tracklight.llm.components import connected_components, stars
+from tracklight.operators.common import numbered
 
 THRESHOLD = 0.93
 #: Vectors of a part; a task compares two parts.
@@ -102,6 +105,44 @@ def near(a: np.ndarray, b: np.ndarray, rotation: np.ndarray, threshold: float) -
     return out
 
 
+def leading(classes: DataFrame, rotations) -> DataFrame:
+    """label, dim, cid, lead: each class's coordinate on the first principal axis; rotations is a broadcast of axes()."""
+
+    def coordinates(batches):
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            lead = np.zeros(len(dims))
+            for dim in np.unique(dims):
+                mine = dims == dim
+                lead[mine] = unit(matrix(batch.column("embedding").filter(pa.array(mine)), dim)) @ rotations.value[int(dim)][:, 0]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("label", "dim", "cid")), pa.array(lead)], names=["label", "dim", "cid", "lead"])
+
+    schema = T.StructType([long("label"), long("dim"), long("cid"), T.StructField("lead", T.DoubleType())])
+    return classes.select("label", "dim", "cid", "embedding").mapInArrow(letting_go(coordinates), schema)
+
+
+def paired_parts(leads: DataFrame, threshold: float, tile: int) -> DataFrame:
+    """cid, part, first, last: a class's part, of `tile` classes along the first axis, and the first and last part that it must meet.
+
+    Parts follow each other along the axis, so the parts near enough to one are a run of them. The runs come from running counts
+    over the parts' ends, of which there are two for each part.
+    """
+    reach = float(np.sqrt(max(0.0, 2 - 2 * (threshold - SLACK))) + SLACK)
+    group = ["label", "dim"]
+    placed = numbered(leads, group, ["lead", "cid"], "place").withColumn("part", F.floor((F.col("place") - 1) / tile).cast("int")).drop("place")
+    placed = checkpoint(placed)
+    ends = placed.groupBy(*group, "part").agg(F.min("lead").alias("low"), (F.max("lead") + reach).alias("high"))
+    ends = checkpoint(ends)
+    low = ends.select(*group, "part", F.col("low").alias("edge"), F.lit(0).alias("kind"))
+    high = ends.select(*group, "part", F.col("high").alias("edge"), F.lit(1).alias("kind"))
+    before = Window.partitionBy(*group).orderBy("edge", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = low.union(high).withColumns({"lows": F.sum(1 - F.col("kind")).over(before), "highs": F.sum("kind").over(before)})
+    last = F.max(F.when(F.col("kind") == 1, F.col("lows") - 1))  # parts that begin no later than this one's reach
+    first = F.max(F.when(F.col("kind") == 0, F.col("highs")))  # parts whose reach ends before this one begins
+    runs = both.groupBy(*group, "part").agg(first.cast("int").alias("first"), last.cast("int").alias("last"))
+    return placed.join(runs, [*group, "part"]).select("cid", "part", "first", "last")
+
+
 RESULT = T.StructType([long("a"), long("b"), long("weight")])
 
 
@@ -169,10 +210,8 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = T
     classes = classes.withColumn("dim", F.size("embedding").cast("long")).withColumn("cid", F.monotonically_increasing_id())
     classes = checkpoint(classes)  # from here on the numbers hold
     rotations = classes.sparkSession.sparkContext.broadcast(axes(classes))
-    parts = classes.groupBy("label", "dim").count().withColumn("parts", F.ceil(F.col("count") / tile).cast("int"))
-    dealt = join_counted(classes, parts, ["label", "dim"], "count")
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("cid"), "parts").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+    dealt = classes.join(paired_parts(leading(classes, rotations), threshold, tile), "cid")
+    dealt = dealt.withColumn("other", F.explode(F.sequence("first", "last"))).select(
         "label",
         "dim",
         F.least("part", "other").alias("lo"),
