@@ -9,6 +9,7 @@ from tracklight.functions.dates import iso_week_label, utc_date
 from tracklight.functions.ioc import ioc_line
 from tracklight.functions.sla import at_risk, format_remaining, sla_state
 from tracklight.model import BUCKETS, HANDOVER_HOURS, LEAD_DAYS, Context, has_status, is_terminal, label, rank
+from tracklight.operators.common import checkpoint
 
 HOUR = 3_600_000
 WEEK = 7 * 24 * HOUR
@@ -302,7 +303,9 @@ def handover(cases: DataFrame, activity: DataFrame, ctx: Context, now_text: str,
     none = ("None.", "Nothing recorded.", "None.", "None.")
     spark: SparkSession = cases.sparkSession
     sev_rank = rank(ctx.severities, F.col("severity"), 99)
-    opened = open_incidents(cases, latest_activity(activity), ctx)
+    wide = ("description", "comments", "activity", "custom_fields", "time_logs", "attack", "tags")
+    cases = checkpoint(_present(cases).drop(*wide))  # read by each part below
+    opened = checkpoint(open_incidents(cases, latest_activity(activity), ctx))
     shape = lambda part, sub, label, case, kind, n, line: [F.lit(part).alias("part"), sub.alias("sub"), (F.col(label) if isinstance(label, str) else label).alias("label"), case.alias("case_id"), F.lit(kind).alias("kind"), n.cast("int").alias("n"), line.alias("line")]
     blank, zero = F.lit(""), F.lit(0)
     lines = opened.select(*shape(1, sev_rank, "label", F.col("id"), 1, zero, F.col("line")))
@@ -311,7 +314,7 @@ def handover(cases: DataFrame, activity: DataFrame, ctx: Context, now_text: str,
     marks = ioc_lines(incidents(_present(cases)).where(~is_terminal(ctx)).select("id", "key", "title", "iocs"))
     marks = marks.join(opened.select("id", "severity", "label"), "id")
     lines = lines.union(marks.select(*shape(1, sev_rank, "label", F.col("id"), 2, F.col("pos"), F.col("line"))))
-    changed = changed_in_window(cases, activity, ctx, hours)
+    changed = checkpoint(changed_in_window(cases, activity, ctx, hours))
     names_of = changed.select("id", "label").distinct()
     lines = lines.union(names_of.select(*shape(2, zero, "label", F.col("id"), 0, zero, F.concat(F.lit("- "), "label", F.lit(":")))))
     lines = lines.union(changed.select(*shape(2, zero, "label", F.col("id"), 1, F.col("pos"), F.col("line"))))

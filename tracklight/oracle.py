@@ -688,3 +688,21 @@ ORACLE_SQL |= {
       UNION ALL SELECT 'R' || n_regionkey, 's' || n_nationkey, 'Sub', 'todo', 'n' || n_nationkey, 0, true FROM nation""",
     "saved_view": _sql("SELECT id, 'v2' AS view_name FROM cases WHERE severity IN ('sev1', 'sev2') AND status IN ('todo', 'blocked') AND NOT archived"),
 }
+
+_PARTS = {1: ("## Open incidents", "None."), 2: ("## Changed in the last 60h", "Nothing recorded."), 3: ("## Response/resolution targets at risk", "None."), 4: ("## Blocked", "None.")}
+_OPEN_INCIDENT = f"NOT archived AND issue_type = 'incident' AND {_OPEN}"
+_FIXED = ["(0, '# Shift handover')", "(0, '')", "(0, 'Generated 2001-08-02T12:00:00Z · window 60h · this note is overwritten on every run.')", "(0, '')"]
+_FIXED += [f"({p}, '{x}')" for p, (name, _) in _PARTS.items() for x in (name, "", "")]
+_FOUND = f"""
+  SELECT 1 AS part, line FROM ({ORACLE_SQL["handover_open_incidents"]})
+  UNION ALL SELECT DISTINCT 1, '### ' || severity_label FROM ({ORACLE_SQL["handover_open_incidents"]})
+  UNION ALL SELECT 1, unnest(['  - ip: ' || replace(iocs[1], '.', '[.]'), '  - domain: ' || replace(iocs[2], '.', '[.]') || ' — seen']) FROM cases WHERE {_OPEN_INCIDENT}
+  UNION ALL SELECT 2, line FROM ({ORACLE_SQL["changed_in_window"]})
+  UNION ALL SELECT 2, '- ' || {_LABEL} || ':' FROM cases WHERE id IN (SELECT id FROM ({ORACLE_SQL["changed_in_window"]}))
+  UNION ALL SELECT 3, '- ' || {_LABEL} || ' — ' || risk FROM ({ORACLE_SQL["targets_at_risk"]}) JOIN cases USING (id)
+  UNION ALL SELECT 4, '- ' || label || CASE WHEN assignees <> '' THEN ' · ' || assignees ELSE '' END FROM ({ORACLE_SQL["blocked"]})"""
+ORACLE_SQL["handover_note"] = _sql(
+    f""", found AS ({_FOUND}), fixed(part, line) AS (VALUES {', '.join(_FIXED)}),
+    empty(part, line) AS (VALUES {', '.join(f"({p}, '{x}')" for p, (_, x) in _PARTS.items())})
+    SELECT * FROM found UNION ALL SELECT * FROM fixed UNION ALL SELECT * FROM empty WHERE part NOT IN (SELECT part FROM found)"""
+)
