@@ -144,13 +144,14 @@ def link_groups(batches, radius: int):
 def parts(keyed: DataFrame, tile: int, column: str, weight: str | None = None, most: int = 1) -> DataFrame:
     """Rows of a table with column key, with the row's part and parts, the number of parts that its group is cut into.
 
-    A part has about `tile` rows at most and, if there is a column `weight`, about `most` of it.
+    A part has about `tile` rows at most and, if there is a column `weight`, about `most` of it. A row that is alone in its group
+    has nothing to be compared with and is left out; of blocks' groups these are most.
     """
     n = F.ceil(F.count("*") / tile)
     n = F.greatest(n, F.ceil(F.sum(weight) / most)) if weight else n
-    counts = keyed.groupBy("key").agg(F.count("*").alias("_n"), n.cast("int").alias("parts"))
+    counts = keyed.groupBy("key").agg(F.count("*").alias("_n"), n.cast("int").alias("parts")).where("_n > 1")
     part = F.pmod(F.xxhash64(column, F.lit(1)), F.col("parts")).cast("int")
-    return join_counted(keyed, counts, ["key"], "_n").withColumn("part", part)
+    return join_counted(keyed, counts, ["key"], "_n", total=keyed.count()).withColumn("part", part)
 
 
 def tiles(keyed: DataFrame, tile: int, *columns: str, weight: str | None = None, most: int = 1) -> DataFrame:
