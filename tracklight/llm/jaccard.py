@@ -41,6 +41,8 @@ SAMPLE, OFTEN, MOST = 4000, 3, 20_000
 TILE, CLUSTER_TILE = 2048, 512
 #: Reference fingerprints of a larger group: rows of its own, evenly spaced, so that what is near one is told from what is far.
 PIVOTS = 8
+#: Bits, and bits in one row, of the map of texts that are wanted; a row is what bitmap_construct_agg makes.
+MAP, MAP_ROW = 1 << 24, 1 << 15
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -303,6 +305,16 @@ def true_pairs(own: DataFrame, sketches: DataFrame, texts: DataFrame, tile: int,
     return verified(checkpoint(members), texts, cluster_tile)
 
 
+def wanted(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of `texts` of a node in `nodes`, and a few others: by a bit map of fixed size, so that the rest isn't shuffled."""
+    bit = F.pmod(F.xxhash64("node"), F.lit(MAP))
+    spot = lambda df: df.withColumns({"_row": F.floor(bit / MAP_ROW).cast("int"), "_bit": F.pmod(bit, F.lit(MAP_ROW))})
+    rows = spot(nodes.select("node")).groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    byte = F.conv(F.hex(F.expr("substring(_map, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    found = spot(texts).join(F.broadcast(rows), "_row").where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_bit % 8 as int))")) != 0)
+    return found.select(*texts.columns)
+
+
 def groups(keyed: DataFrame) -> DataFrame:
     """node, key (long) of the groups in node, comp, key of two comps and more; of groups of equal members only one.
 
@@ -326,7 +338,7 @@ def verified(members: DataFrame, texts: DataFrame, tile: int) -> DataFrame:
     limit = {"weight": "n", "most": CLUSTER_SHINGLES}
 
     def compare(dealt: DataFrame) -> DataFrame:
-        sent = dealt.select("key", "lo", "hi", "node").join(texts, "node")
+        sent = dealt.select("key", "lo", "hi", "node").join(wanted(texts, dealt), "node")
         return checkpoint(gather(sent).mapInArrow(letting_go(cluster_links), LINKS))
 
     parted = checkpoint(parts(members, tile, "node", **limit))
