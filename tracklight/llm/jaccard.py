@@ -1,16 +1,18 @@
-"""Near copies by pivot distance tables and exact verification: Jaccard similarity of 0.8 and more over sets of five-word shingles.
+"""Near copies by SimHash, pivot distance tables and exact verification: Jaccard similarity of 0.8 and more over sets of five-word shingles.
 
-This is the near-dedup stage's form of operator 2. A fingerprint of majority bits gives no bound on the similarity of sets, so
-a stage that owes 0.8 can't decide by it without losing links. Its place is taken by a parity fingerprint: the
+This is the near-dedup stage's form of operator 2. The operator's own fingerprints, blocks' groups and pivot tables come first:
+texts whose 64 majority bits differ in up to four are candidates, and all of a cluster of them are compared as sets. Majority bits give no
+bound on the similarity of sets, though, so a stage that owes 0.8 would lose links by them alone. What they leave apart is looked for
+exactly: pairs of unlike clusters are found by groups of equal shingles, and ruled out by parity fingerprints only: the
 parities of shingle counts in cells, 1,024 or as many as there are shingles, whose Hamming distance is at most the number of shingles that two sets don't share.
 
 A pair of similarity 0.8 shares at least 0.8 of the shingles of each, so in any one order of all shingles it
 shares one among the first fifth of each: the documents of such a shingle are a group (prefix filter). The order puts
 shingles that are common in a sample last, which keeps groups small; it decides on speed alone. Most groups have the same members as
 others, as near copies share many shingles; groups of equal members are made one. A large group of near copies, each with edits of its own,
-would still stand in a group for each shingle: a first pass, by the least hashes of each set under four orders, finds what nearly all of its
+would still stand in a group for each shingle: a first pass, by SimHash and by the least hashes of each set under four orders, finds what nearly all of its
 links join, and the prefixes' groups then count only if they hold documents that aren't joined yet. Within a group, sizes, the table of distances to
-reference fingerprints and then the fingerprints' own distance rule out pairs that can't reach 0.8. What is left is joined to
+reference fingerprints and then the parity fingerprints' own distance rule out pairs that can't reach 0.8. What is left is joined to
 clusters, and within a cluster the sets themselves are compared in integers, so each link is a true one and none is lost.
 """
 
@@ -25,7 +27,7 @@ from pyspark.sql import types as T
 
 from tracklight.llm.common import as_bytes, checkpoint, join_counted, letting_go, long, map_columns
 from tracklight.llm.components import connected_components
-from tracklight.llm.simhash import LINKS, SMALL, deal, gather, parts, tiles
+from tracklight.llm.simhash import LINKS, SMALL, deal, fingerprint, gather, near_links, parts, tiles
 
 #: Words in a shingle. The similarity is LEAST[0] / LEAST[1].
 WORDS, LEAST = 5, (4, 5)
@@ -130,24 +132,26 @@ class Fingerprints:
 
 
 def signatures(df: DataFrame, common: tuple[np.ndarray, np.ndarray], text: str = "text") -> DataFrame:
-    """`df` without its text, with sig0, sig1 (equal for equal sets only), n, cells (the parity sketch), least (keys of the first pass) and keys, the prefix."""
+    """`df` without its text, with sig0, sig1 (equal for equal sets only), n, fp (operator 2's SimHash), cells (the parity sketch), least (keys of the first pass) and keys, the prefix."""
 
     def make():
         def run(column):
-            sigs, sizes, cells, least, keys = [], [], [], [], []
+            sigs, sizes, prints, cells, least, keys = [], [], [], [], [], []
             for x in as_bytes(column):
                 own = shingles(x)
+                prints.append(fingerprint(x))
                 sigs.append(np.frombuffer(xxhash.xxh128_digest(own.tobytes()), np.int64))
                 sizes.append(len(own))
                 cells.append(parities(own))
                 least.append(np.array([(own * k).min() for k in ORDERS] if len(own) else [], np.uint64).view(np.int64))
                 keys.append(prefix(own, *common).view(np.int64))
             sigs = np.array(sigs, np.int64).reshape(-1, 2)
-            return [*(np.ascontiguousarray(x) for x in sigs.T), sizes, cells, *(pa.array(x, pa.list_(pa.int64())) for x in (least, keys))]
+            prints = np.array(prints, np.uint64).view(np.int64)
+            return [*(np.ascontiguousarray(x) for x in sigs.T), sizes, prints, cells, *(pa.array(x, pa.list_(pa.int64())) for x in (least, keys))]
 
         return run
 
-    fields = [*map(long, ("sig0", "sig1", "n")), T.StructField("cells", T.BinaryType())]
+    fields = [*map(long, ("sig0", "sig1", "n", "fp")), T.StructField("cells", T.BinaryType())]
     fields += [T.StructField(x, T.ArrayType(T.LongType())) for x in ("least", "keys")]
     return map_columns(df, make, [text], fields, drop=[text])
 
@@ -285,8 +289,9 @@ def similar_groups(df: DataFrame, row: str, text: str = "text", tile: int = TILE
     own = prints.join(firsts.select("node"), F.col(row) == F.col("node"))
     sketches, texts = prints.select(F.col(row).alias("node"), "cells"), df.select(F.col(row).alias("node"), F.col(text).alias("text"))
     sizes = (tile, cluster_tile)
-    first = checkpoint(own.select("node", F.col("node").alias("comp"), "n", F.col("least").alias("keys")))
-    links = true_pairs(first, sketches, texts, *sizes)
+    first = simhash_clusters(own.select("node", "n", "fp", F.col("least").alias("keys")))
+    near = first.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
+    links = true_pairs(first, sketches, texts, *sizes, more=near)
     roots = connected_components(links)
     own = checkpoint(own.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("comp"), "n", "keys"))
     links = links.union(true_pairs(own, sketches, texts, *sizes))
@@ -296,11 +301,24 @@ def similar_groups(df: DataFrame, row: str, text: str = "text", tile: int = TILE
     return join_counted(prints.select(row, "sig0", "sig1"), joined, ["sig0", "sig1"], "_rows").select(row, "group")
 
 
-def true_pairs(own: DataFrame, sketches: DataFrame, texts: DataFrame, tile: int, cluster_tile: int) -> DataFrame:
-    """a, b (long): links of similar nodes that join all similar ones, not joined yet, that share one of their keys. `own` has node, comp, n and keys."""
+def simhash_clusters(own: DataFrame) -> DataFrame:
+    """`own`, of node and fp, without fp and with comp: the least node of those that links of near SimHash fingerprints join, directly or not."""
+    own = checkpoint(own)
+    roots = connected_components(near_links(own.select("fp").distinct())).withColumnRenamed("node", "fp")
+    joined = checkpoint(own.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")).drop("fp"))
+    least = joined.groupBy("root").agg(F.min("node").alias("comp"), F.count("*").alias("_n"))
+    return checkpoint(join_counted(joined, least, ["root"], "_n", total=joined.count()).drop("root"))
+
+
+def true_pairs(own: DataFrame, sketches: DataFrame, texts: DataFrame, tile: int, cluster_tile: int, more: DataFrame | None = None) -> DataFrame:
+    """a, b (long): links of similar nodes that join all similar ones, not joined yet, that share one of their keys. `own` has node, comp, n and keys.
+
+    `more` are links to verify too, which join the nodes of each comp.
+    """
     members = groups(own.select("node", "comp", F.explode("keys").alias("key")))
     keyed = checkpoint(members.join(own.drop("keys"), "node").join(sketches, "node"))
-    maybe = connected_components(deal(keyed, tile, "node", "comp", "n", "cells").mapInArrow(letting_go(candidate_links), LINKS))
+    maybe = deal(keyed, tile, "node", "comp", "n", "cells").mapInArrow(letting_go(candidate_links), LINKS)
+    maybe = connected_components(maybe if more is None else maybe.union(more))
     members = maybe.join(own.select("node", "n"), "node").select(F.col("root").alias("key"), "node", "n")
     return verified(checkpoint(members), texts, cluster_tile)
 
