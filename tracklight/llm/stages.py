@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklight.llm import jaccard, language, mixing, quality, sentence_pieces
-from tracklight.llm.common import checkpoint, table
+from tracklight.llm.common import checkpoint, freeing_shuffles, table
 
 #: A document goes if its language is undetermined or has less than this mean chance.
 LEAST_SCORE = 0.4
@@ -28,10 +28,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similarity 0.8 or more over shingles of five words: the one of the smallest doc_id.
 
     Links are exact Jaccard similarities, which pivot tables of fingerprints have left to verify. The documents' rows are numbered as they are
-    read, so that equal rows can be told apart; of several with the smallest doc_id the first stays.
+    read, so that equal rows can be told apart; of several with the smallest doc_id the first stays. What the search for groups shuffles
+    is deleted step by step.
     """
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    groups = jaccard.similar_groups(numbered, "_row").join(numbered.select("_row", "doc_id"), "_row")
+    with freeing_shuffles(spark):
+        groups = jaccard.similar_groups(numbered, "_row")
+    groups = groups.join(numbered.select("_row", "doc_id"), "_row")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
     kept = groups.groupBy("group").agg(first.alias("first")).select("first._row")
     return numbered.join(kept, "_row", "left_semi").select(docs.columns)
