@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklight.model import Context, is_terminal
-from tracklight.operators.common import numbered
+from tracklight.operators.common import checkpoint, numbered
 
 #: Fields whose changes are logged, in the order of the entries.
 LOGGED = ("status", "severity", "priority", "verdict", "assignees", "due", "bucket")
@@ -237,10 +237,15 @@ def coerce_type(cases: DataFrame) -> DataFrame:
     )
 
 
+#: From so many cases below it on, a folder is looked up in a broadcast table: a shuffle would give all of them to one task.
+CROWDED = 50_000
+
+
 def archive(cases: DataFrame, ids: DataFrame, restore: bool = False) -> DataFrame:
     """Cases (ids has id) moved into their folder's Archive, or out of it; their paths and archived follow.
 
     A case's own folder, of its file's name, moves with it, and so the files in it do: they stay what they are, at their new paths.
+    Of the crowded folders there is one at most for each CROWDED cases and level, so what is broadcast stays small.
     """
     moved = cases.join(ids.select(F.col("id").alias("_a")).distinct(), F.col("id") == F.col("_a"), "left")
     path = F.col("file_path")
@@ -252,7 +257,12 @@ def archive(cases: DataFrame, ids: DataFrame, restore: bool = False) -> DataFram
     parts = F.split(path, "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
     above = F.when(F.size(parts) > 1, above).otherwise(F.array().cast("array<string>"))
-    carried = moved.where(~chosen).select("id", F.explode(above).alias("_from")).join(folders, "_from")
+    below = moved.where(~chosen).select("id", F.explode(above).alias("_from"))
+    crowded = checkpoint(below.groupBy("_from").count().where(F.col("count") > CROWDED).select("_from"))
+    carried = below.join(F.broadcast(crowded), "_from", "left_anti").join(folders, "_from")
+    moving = checkpoint(folders.join(F.broadcast(crowded), "_from", "left_semi"))
+    if not moving.isEmpty():
+        carried = carried.union(below.join(F.broadcast(moving), "_from").select(carried.columns))
     carried = carried.groupBy(F.col("id").alias("_c")).agg(F.max_by(F.struct("_from", "_to"), F.length("_from")).alias("_with"))
     out = moved.join(carried, F.col("id") == F.col("_c"), "left")
     follows = F.concat(F.col("_with._to"), F.substring(path, F.length("_with._from") + 1, F.length(path)))
